@@ -3,7 +3,8 @@
 Every text of a source should be taken r times, r being the source's wanted tokens over its own. floor(r) copies are certain;
 the fraction is rounded so that the source's tokens come out within one text of the target: two texts with fractional
 probabilities trade mass, weighed by their tokens, until one of them is whole, at random and without bias. Texts are rounded inside
-(source, bucket) groups in parallel; each group leaves one fractional text at most, and these are paired again in a tree.
+(source, bucket) groups in parallel; each group leaves one fractional text at most, and these are paired again in a tree. The few
+giants of a source, texts that alone would shift its share, are rounded first, and the other texts' probabilities take up what that left.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from loomgraph.runtime import cut
 
 FAN_IN = 64
 ROWS_PER_BUCKET = 20_000
+#: A giant has more tokens than GIANT_MEANS average texts and than 1 / GIANT_PARTS of its source: fewer than GIANT_PARTS a source.
+GIANT_MEANS, GIANT_PARTS = 8, 1000
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Splits text before the merges (fixed value of the vocabulary).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -163,18 +166,49 @@ def mix(counted: DataFrame, targets: DataFrame, total: int | None = None, seed:
     counted = cut(counted, "tokens") if not hasattr(counted, "loom_path") else counted
     wanted = {r.source: (r.target_share, r.max_repeats) for r in _targets(targets).collect()}
     named = counted.where(F.col("source").isin(list(wanted)) & (F.col("tokens") > 0))
-    sizes = {r.source: r.n for r in named.groupBy("source").agg(F.sum("tokens").alias("n")).collect()}
-    _, copies = plan(sizes, wanted, total)
+    stats = {r.source: (r.n, r.k) for r in named.groupBy("source").agg(F.sum("tokens").alias("n"), F.count("*").alias("k")).collect()}
+    _, copies = plan({s: n for s, (n, _) in stats.items()}, wanted, total)
     if not copies:
         return named.where("false").select("doc_id", "source", "tokens", F.lit(0).cast("bigint").alias("copies"))
-    pairs = [x for s, r in sorted(copies.items()) for x in (F.lit(s), F.lit(float(r)))]
-    rows = named.withColumn("r", F.create_map(*pairs)[F.col("source")]).where(F.col("r") > 0)
+    limit = {s: max(GIANT_MEANS * n / k, n / GIANT_PARTS) for s, (n, k) in stats.items() if s in copies}
+    is_giant = F.col("tokens") > _by_source(limit)
+    giants = named.where(is_giant).select("doc_id", "source", "tokens").collect()
+    settled, rest = [], {}
+    for s, r in sorted(copies.items()):
+        own = sorted((g.doc_id, g.tokens) for g in giants if g.source == s)
+        taken = _round_few(own, r, random.Random(f"{seed}|giants|{s}"))
+        settled += [(doc, s, tokens, k) for (doc, tokens), k in zip(own, taken)]
+        others = stats[s][0] - sum(t for _, t in own)
+        left = r * stats[s][0] - sum(t * k for (_, t), k in zip(own, taken))
+        rest[s] = min(float(wanted[s][1]), max(0.0, left / others)) if others else 0.0
+    rows = named.where(~is_giant).withColumn("r", _by_source(rest)).where(F.col("r") > 0)
     rows = rows.withColumn("sure", F.floor(F.col("r") + 1e-9)).withColumn("p", F.greatest(F.lit(0.0), F.col("r") - F.col("sure")))
     rounded = pivotal_round(rows.where("p > 1e-9").select("source", "doc_id", "tokens", "p"), seed)
-    sure = F.create_map(*[x for s, r in sorted(copies.items()) for x in (F.lit(s), F.lit(int(r + 1e-9)))])[F.col("source")]
+    sure = _by_source({s: int(r + 1e-9) for s, r in rest.items()})
     part = rounded.select("doc_id", "source", "tokens", (sure + F.col("p")).cast("bigint").alias("copies"))
     full = rows.where("p <= 1e-9").select("doc_id", "source", "tokens", F.col("sure").cast("bigint").alias("copies"))
-    return part.unionByName(full).where("copies > 0")
+    few = counted.sparkSession.createDataFrame(settled, "doc_id bigint, source string, tokens bigint, copies bigint")
+    return part.unionByName(full).unionByName(few).where("copies > 0")
+
+
+def _by_source(values: dict):
+    return F.create_map(*[F.lit(x) for pair in sorted(values.items()) for x in pair])[F.col("source")]
+
+
+def _round_few(items: list[tuple[int, int]], r: float, rng: random.Random) -> list[int]:
+    """Copies of a handful of (doc_id, tokens) wanted r times each: pivotal rounding one after the other, the last by chance alone."""
+    sure = int(r + 1e-9)
+    p, held = [_whole(max(0.0, r - sure))] * len(items), None
+    for i in range(len(items)):
+        if not 0 < p[i] < 1:
+            continue
+        if held is not None:
+            p[held], p[i] = trade(p[held], items[held][1], p[i], items[i][1], rng.random())
+        if held is None or not 0 < p[held] < 1:
+            held = i if 0 < p[i] < 1 else None
+    if held is not None:
+        p[held] = float(rng.random() < p[held])
+    return [sure + int(x) for x in p]
 
 
 def shares(mixed: DataFrame, counted: DataFrame, targets: DataFrame) -> DataFrame:
