@@ -63,14 +63,19 @@ _WIDE = "".join(map(chr, range(0xFF01, 0xFF5F))) + " 　"
 _PLAIN = "".join(map(chr, range(0x21, 0x7F))) + "  "
 
 
-def canonical_sql(expr: str, source: bool = False) -> str:
-    """DuckDB form of c(): it has NFC only, so the width forms are translated first.
+def _quote(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
 
-    Equal to NFKC for text whose compatibility characters are width forms and blanks.
-    """
+
+def width_sql(expr: str) -> str:
+    """DuckDB form of NFKC for text whose compatibility characters are width forms and blanks: it has NFC only, so those are translated first."""
+    return f"nfc_normalize(translate({expr}, {_quote(_WIDE)}, {_quote(_PLAIN)}))"
+
+
+def canonical_sql(expr: str, source: bool = False) -> str:
+    """DuckDB form of c(), with width_sql() for NFKC."""
     space = " || ".join(["' '", *(f"chr({ord(x)})" for x in SPACE[1:])])
-    quote = lambda s: "'" + s.replace("'", "''") + "'"
-    n = f"trim(lower(nfc_normalize(translate({expr}, {quote(_WIDE)}, {quote(_PLAIN)}))), {space})"
+    n = f"trim(lower({width_sql(expr)}), {space})"
     n = rf"regexp_replace({n}, '(?s)^\[\[\s*(.*?)\s*\]\]$', '\1')"
     if source:
         n = f"regexp_replace({n}, '/$', '')"
