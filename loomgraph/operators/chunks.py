@@ -21,66 +21,68 @@ MAX_BROADCAST_ROWS = 500_000
 
 
 def numbered(df: DataFrame, key: str, chunk_rows: int | None = None) -> DataFrame:
-    """df with `pid`, `row_no` (from 0 within the key, in input order) and `chunk` (row_no // chunk_rows); null keys are left out.
+    """df with `__pid`, `__row_no` and `__chunk`; null keys are left out, and no other column's name matters.
 
-    The input order is that of the partitions and of the rows in them; it is fixed by writing it down once.
+    The input order is that of the partitions (__pid) and of the rows in them; it is fixed by writing it down once. A key of more than one chunk has
+    __row_no from 0 within the key and __chunk = __row_no // chunk_rows; a smaller key is chunk 0, and its __row_no counts within the partition. Sorting by
+    (__pid, __row_no) gives the input order for both.
     chunk_rows defaults to a quarter of a task's fair share of the rows.
     """
     spark = df.sparkSession
     rows = df.where(F.col(key).isNotNull())
-    schema = T.StructType([*rows.schema.fields, T.StructField("pid", T.IntegerType()), T.StructField("local_no", T.LongType())])
+    schema = T.StructType([*rows.schema.fields, T.StructField("__pid", T.IntegerType()), T.StructField("__local", T.LongType())])
 
     def count_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict = {}
         for pdf in batches:
             group = pdf.groupby(key, sort=False)[key]
-            pdf["local_no"] = group.cumcount() + pdf[key].map(seen).fillna(0).astype("int64")
+            pdf["__local"] = group.cumcount() + pdf[key].map(seen).fillna(0).astype("int64")
             for k, n in group.size().items():
                 seen[k] = seen.get(k, 0) + n
             yield pdf
 
-    with_pid = rows.withColumn("pid", F.spark_partition_id())
-    order = [f.name for f in schema.fields if f.name != "local_no"] + ["local_no"]
+    with_pid = rows.withColumn("__pid", F.spark_partition_id())
+    order = [f.name for f in schema.fields if f.name != "__local"] + ["__local"]
     fixed = cut(with_pid.mapInPandas(lambda it: (p[order] for p in count_up(it)), T.StructType([schema[c] for c in order])), "numbered")
-    per_part = fixed.groupBy("pid", key).agg(F.count("*").alias("n"))
+    per_part = fixed.groupBy("__pid", key).agg(F.count("*").alias("n"))
     if chunk_rows is None:
         chunk_rows = max(1000, fixed.count() // (4 * partitions(spark)))
     heavy = per_part.groupBy(key).agg(F.sum("n").alias("total")).where(F.col("total") > chunk_rows)
-    before = Window.partitionBy(key).orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_part.join(heavy.select(key), key, "left_semi").withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    before = Window.partitionBy(key).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_part.join(heavy.select(key), key, "left_semi").withColumn("__offset", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     offsets = cut(offsets, "offsets")
     small = offsets.count() <= MAX_BROADCAST_ROWS
-    joined = fixed.join(F.broadcast(offsets) if small else offsets, ["pid", key], "left")
-    row_no = F.coalesce("offset", F.lit(0)) + F.col("local_no")
-    return joined.withColumn("row_no", row_no).withColumn("chunk", F.floor(row_no / chunk_rows)).drop("offset", "local_no")
+    joined = fixed.join(F.broadcast(offsets) if small else offsets, ["__pid", key], "left")
+    row_no = F.coalesce("__offset", F.lit(0)) + F.col("__local")
+    return joined.withColumn("__row_no", row_no).withColumn("__chunk", F.floor(row_no / chunk_rows)).drop("__offset", "__local")
 
 
 def chunked_counts(df: DataFrame, key: str, chunk_rows: int | None = None) -> DataFrame:
     """(key, n, n_chunks): rows per key, each chunk counted by itself and the chunks' states merged in order."""
-    states = numbered(df.select(key), key, chunk_rows).groupBy(key, "chunk").agg(F.count("*").alias("n"), F.min("row_no").alias("first"), F.max("row_no").alias("last"))
+    states = numbered(df.select(key), key, chunk_rows).groupBy(key, "__chunk").agg(F.count("*").alias("n"), F.min("__row_no").alias("first"), F.max("__row_no").alias("last"))
     return states.groupBy(key).agg(F.sum("n").alias("n"), F.count("*").alias("n_chunks"))
 
 
 def chunked_apply(df: DataFrame, key: str, state: Callable[[pd.DataFrame], dict], merge: Callable[[dict, dict], dict], schema: str, chunk_rows: int | None = None) -> DataFrame:
-    """A result per key where order counts: state() reduces one chunk (rows sorted by row_no), merge() joins neighbours left to right.
+    """A result per key where order counts: state() reduces one chunk (rows in input order), merge() joins neighbours left to right.
 
     schema names the state's columns. A key's states reach one task together: one row per chunk, never its rows.
     """
     out = T._parse_datatype_string(schema)
     fields = [f.name for f in out.fields]
-    keyed = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("chunk", T.LongType()), *out.fields])
+    keyed = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("__chunk", T.LongType()), *out.fields])
     rows = numbered(df, key, chunk_rows)
 
     def one(names, pdf: pd.DataFrame) -> pd.DataFrame:
-        s = state(pdf.sort_values("row_no"))
-        return pd.DataFrame([[names[0], names[1], *[s[f] for f in fields]]], columns=[key, "chunk", *fields])
+        s = state(pdf.sort_values(["__pid", "__row_no"]))
+        return pd.DataFrame([[names[0], names[1], *[s[f] for f in fields]]], columns=[key, "__chunk", *fields])
 
     def fold(names, pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = pdf.sort_values("chunk")[fields].to_dict("records")
+        parts = pdf.sort_values("__chunk")[fields].to_dict("records")
         total = parts[0]
         for nxt in parts[1:]:
             total = merge(total, nxt)
         return pd.DataFrame([[names[0], *[total[f] for f in fields]]], columns=[key, *fields])
 
-    states = rows.groupBy(key, "chunk").applyInPandas(one, keyed)
+    states = rows.groupBy(key, "__chunk").applyInPandas(one, keyed)
     return states.groupBy(key).applyInPandas(fold, T.StructType([keyed[key], *out.fields]))
