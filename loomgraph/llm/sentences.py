@@ -37,12 +37,12 @@ NUMBERED = regex.compile(r"\s*\(?\d{1,3}[.)]\s+\S")
 
 class Rule(NamedTuple):
     breaks: bool
-    before: regex.Pattern
-    after: regex.Pattern
+    before: str
+    after: str
 
 
 def _rule(breaks: bool, before: str, after: str) -> Rule:
-    return Rule(breaks, regex.compile(f"(?:{before})$"), regex.compile(after))
+    return Rule(breaks, before, after)
 
 
 def _never(words: str, after: str = "") -> Rule:
@@ -111,23 +111,55 @@ def cascade(lang: str | None) -> list[Rule]:
     return [r for name in [*order, "common"] for r in TABLES[name]]
 
 
-_CASCADES: dict = {}
+class Compiled(NamedTuple):
+    """A cascade ready for use: all rules in one pattern for places right after the mark, else each with `before` matched backwards from the mark."""
 
+    whole: regex.Pattern
+    verdicts: list[bool]
+    single: list[tuple[bool, regex.Pattern, regex.Pattern]]
 
-def _rules(lang: str | None) -> list[Rule]:
-    if lang not in _CASCADES:
-        if len(_CASCADES) > 1000:
-            _CASCADES.clear()
-        _CASCADES[lang] = cascade(lang)
-    return _CASCADES[lang]
 
+def _compile(rules: list[Rule]) -> Compiled:
+    """Alternatives are tried in order, so the first that matches is the first rule that does.
 
-def _decide(rules: list[Rule], text: str, lo: int, at: int, mark: int, hi: int) -> bool:
-    before, after = text[max(lo, mark - WINDOW) : mark], text[at : min(hi, at + WINDOW * 2)]
+    Neighbours with one verdict and one `after` are joined: which of them matches makes no difference.
+    """
+    merged: list[Rule] = []
     for r in rules:
-        if r.before.search(before) and r.after.match(after):
-            return r.breaks
-    return False
+        if merged and (merged[-1].breaks, merged[-1].after) == (r.breaks, r.after):
+            merged[-1] = Rule(r.breaks, f"{merged[-1].before}|{r.before}", r.after)
+        else:
+            merged.append(r)
+    whole = regex.compile("|".join(f"((?<={r.before})(?={r.after}))" for r in merged))
+    return Compiled(whole, [r.breaks for r in merged], [(r.breaks, regex.compile(f"(?r)(?:{r.before})$"), regex.compile(r.after)) for r in merged])
+
+
+_COMPILED: dict = {}
+
+
+def _rules(lang: str | None) -> tuple[Compiled, Compiled]:
+    """The cascade for places after a full stop, and for all others, where rules that ask for a full stop are left out."""
+    own = (lang or "").strip().lower()[:2]
+    own = own if own in TABLES else ""
+    if own not in _COMPILED:
+        rules = cascade(own)
+        _COMPILED[own] = _compile(rules), _compile([r for r in rules if not r.before.endswith(r"\.")])
+    return _COMPILED[own]
+
+
+def _decide(rules: tuple, text: str, lo: int, at: int, mark: int, hi: int) -> bool:
+    dotted = text[mark - 1] == "."
+    if dotted and at < hi and (text[at].isdigit() or "a" <= text[at] <= "z"):
+        return False  # inside a number, a name or an address; no table breaks there
+    own, end = rules[0] if dotted else rules[1], min(hi, at + WINDOW * 2)
+    if at == mark:
+        m = own.whole.match(text, at, end)
+        return bool(m) and own.verdicts[m.lastindex - 1]
+    return _single(own, text[max(lo, mark - WINDOW) : mark], text[at:end])
+
+
+def _single(own: Compiled, before: str, after: str) -> bool:
+    return next((breaks for breaks, b, a in own.single if a.match(after) and b.match(before)), False)
 
 
 def _matched(text: str, lo: int, hi: int) -> dict[int, int]:
@@ -154,7 +186,7 @@ def _matched(text: str, lo: int, hi: int) -> dict[int, int]:
     return out
 
 
-def _paragraph(text: str, lo: int, hi: int, rules: list[Rule]) -> Iterator[tuple[int, int]]:
+def _paragraph(text: str, lo: int, hi: int, rules: tuple) -> Iterator[tuple[int, int]]:
     closed = _matched(text, lo, hi)
     start, at = lo, lo
     while True:
@@ -186,7 +218,7 @@ def _paragraph(text: str, lo: int, hi: int, rules: list[Rule]) -> Iterator[tuple
                 # the rules see the end mark next to the closing mark, whatever blank or note stands between
                 before = inner[-WINDOW:] + text[j]
                 after = text[stop : min(hi, stop + WINDOW * 2)]
-                verdict = next((r.breaks for r in rules if r.before.search(before) and r.after.match(after)), False)
+                verdict = _single(rules[1], before, after)
                 at = stop
                 if verdict:
                     yield start, stop
