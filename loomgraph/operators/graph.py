@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from loomgraph.functions.canonical import with_canonical
 from loomgraph.operators import pages as P
-from loomgraph.operators.skew import lookup_join
+from loomgraph.operators.skew import lookup_join, with_group_min
 from loomgraph.runtime import cut, release
 from loomgraph.schema import EDGE_LIMIT, EDGE_MAX, MAX_HOPS, READ_LIMIT, READ_MAX, ResultTooLarge
 
@@ -188,19 +188,20 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> Data
             rows = rows.select(F.inline(F.array(F.struct(F.col("u"), F.col("v")), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
         else:
             rows = rows.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = rows.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        hung = lookup_join(rows, least, "u", "inner")
+        hung = with_group_min(rows, "u", F.least("u", "v"), "m")
         if large:
             return hung.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         return hung.select(F.inline(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v"))))).where("u <> v").distinct()
 
+    h = F.xxhash64("u", "v")
+    figures = (F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.sum(F.pmod(h, F.lit(1 << 31))).alias("s"))
     now, mark = cut(pairs.distinct(), "star"), None
     for _ in range(max_rounds):
-        new = cut(star(star(now, True), False), "star")
+        half, seen = cut(star(now, True), "star"), Observation()
+        new = cut(star(half, False), "star", seen, *figures)
         release(now)
-        now, before = new, mark
-        h = F.xxhash64("u", "v")
-        mark = tuple(now.agg(F.count("*"), F.bit_xor(h), F.sum(F.pmod(h, F.lit(1 << 31)))).first())
+        release(half)
+        now, before, mark = new, mark, seen.get
         if mark == before:
             roots = now.groupBy(F.col("u").alias("slug")).agg(F.min("v").alias("root"))
             return nodes.select("slug").join(roots, "slug", "left").select("slug", F.coalesce("root", "slug").alias("component"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from loomgraph.runtime import partitions
+from loomgraph.runtime import cut, partitions
 
 #: At most so many keys are treated as heavy; they are all that reaches the driver.
 MAX_HEAVY = 256
@@ -42,3 +42,19 @@ def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "left",
         "__salt", F.explode(F.when(hot, all_salts).otherwise(F.array(F.lit(0)))) if heavy else F.lit(0)
     )
     return left.join(right, [key, "__salt"], how).drop("__salt")
+
+
+def with_group_min(rows: DataFrame, key: str, value: Column, name: str) -> DataFrame:
+    """rows with the least `value` of their key's group as column `name`; null keys are left out.
+
+    The groups' minima and sizes are one table; its largest groups are the heavy keys of the join, so no second count is made.
+    """
+    seen = Observation()
+    least = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(value).alias(name), F.count("*").alias("__n"))
+    least = cut(least, "least", seen, F.sum("__n").alias("total"), F.max("__n").alias("most"))
+    figures = seen.get
+    bound = max(1000, (figures.get("total") or 0) / (2 * partitions(rows.sparkSession)))
+    heavy = []
+    if (figures.get("most") or 0) > bound:
+        heavy = [r[0] for r in least.where(F.col("__n") > bound).orderBy(F.desc("__n"), key).limit(MAX_HEAVY).select(key).collect()]
+    return lookup_join(rows, least.drop("__n"), key, "inner", heavy)

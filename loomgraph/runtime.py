@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 #: Session settings for own sessions; a given session is never changed.
 SETTINGS = {
@@ -48,14 +48,15 @@ def _path(spark: SparkSession, path: str):
     return jpath, jpath.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def cut(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: its lineage ends there.
+def cut(df: DataFrame, tag: str, watch: Observation | None = None, *figures) -> DataFrame:
+    """Write df as a table in the shared folder and read it back: its lineage ends there. Figures (aggregates) are observed while writing.
 
     The table outlives lost executors. It is removed by release(), or when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomgraph/{uuid.uuid4().hex}-{tag}"
-    df.write.option("compression", "zstd").parquet(path)
+    out = df.observe(watch, *figures) if watch is not None else df
+    out.write.option("compression", "zstd").parquet(path)
     jpath, fs = _path(spark, path)
     fs.deleteOnExit(jpath)
     back = spark.read.schema(df.schema).parquet(path)
