@@ -7,11 +7,11 @@ member to all of its cluster. The rounds end when the rows no longer change.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from loomgraph.functions.canonical import with_canonical
-from loomgraph.operators.skew import lookup_join
+from loomgraph.operators.skew import with_group_min
 from loomgraph.runtime import cut, release
 
 MAX_ROUNDS = 60
@@ -23,13 +23,6 @@ def links(edges: DataFrame, source: str = "source", target: str = "target") -> D
     return rows.where(F.col("a").isNotNull() & F.col("b").isNotNull()).select("a", "b").distinct()
 
 
-def _mark(pairs: DataFrame) -> tuple:
-    """Number and order-free hash of the rows: equal marks of two rounds mean equal rows."""
-    h = F.xxhash64("v", "u")
-    r = pairs.agg(F.count("*"), F.bit_xor(h), F.sum(F.pmod(h, F.lit(1 << 31)))).first()
-    return tuple(r)
-
-
 def hash_to_min(pairs: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """(vertex, component): the smallest vertex linked to each, directly or over others, in either direction.
 
@@ -37,16 +30,20 @@ def hash_to_min(pairs: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """
     pair = lambda x, y: F.struct(F.col(x).alias("v"), F.col(y).alias("u"))
     both = F.array(pair("a", "b"), pair("b", "a"), pair("a", "a"), pair("b", "b"))
-    now = cut(pairs.select(F.inline(both)).distinct(), "clusters")
-    mark = _mark(now)
+    # number and order-free hashes of the rows, taken while they are written: equal figures of two rounds mean equal rows
+    h = F.xxhash64("v", "u")
+    figures = (F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.sum(F.pmod(h, F.lit(1 << 31))).alias("s"))
+    seen = Observation()
+    now = cut(pairs.select(F.inline(both)).distinct(), "clusters", seen, *figures)
+    mark = seen.get
     for _ in range(max_rounds):
-        least = now.groupBy("v").agg(F.min("u").alias("m"))
-        sent = lookup_join(now, least, "v", "inner").select(
+        sent = with_group_min(now, "v", F.col("u"), "m").select(
             F.inline(F.array(F.struct(F.col("m").alias("v"), F.col("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u"))))
         )
-        new = cut(sent.distinct(), "clusters")
+        seen = Observation()
+        new = cut(sent.distinct(), "clusters", seen, *figures)
         release(now)
-        now, before, mark = new, mark, _mark(new)
+        now, before, mark = new, mark, seen.get
         if mark == before:
             return now.groupBy(F.col("v").alias("vertex")).agg(F.min("u").alias("component"))
     raise RuntimeError(f"groups not stable after {max_rounds} rounds")
