@@ -97,8 +97,7 @@ def type_matrix(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     half = half.groupBy("source", "target_type").agg(F.count("*").alias("n"))
     full = half.join(kinds.select(F.col("slug").alias("source"), F.col("type").alias("source_type")), "source")
     cells = full.groupBy("source_type", "target_type").agg(F.sum("n").alias("n"))
-    types = nodes.select("type").distinct()
-    axis = types.withColumnRenamed("type", "source_type").join(types.withColumnRenamed("type", "target_type"), F.lit(True))
+    axis = nodes.agg(F.collect_set("type").alias("t")).select(F.explode("t").alias("source_type"), "t").select("source_type", F.explode("t").alias("target_type"))
     row = F.sum("n").over(Window.partitionBy("source_type"))
     dense = axis.join(cells, ["source_type", "target_type"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return dense.withColumn("ratio", F.when(row > 0, rounded(F.col("n") / row, 3)).otherwise(F.lit(0.0)))
