@@ -13,6 +13,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.operators.numbering import in_order
 from loomgraph.operators.skew import lookup_join
 from loomgraph.runtime import cut
 
@@ -20,21 +21,8 @@ THRESHOLD = Fraction(3, 5)
 
 
 def number_tokens(tokens: DataFrame) -> DataFrame:
-    """(token, rank) of the rows' tokens, rank 0 upwards by rising frequency, ties by token: an exact numbering without a single task.
-
-    The counts are sorted by range and written down; offsets of the partitions, one row each, come from the driver.
-    """
-    counts = tokens.groupBy("token").agg(F.count("*").alias("n"))
-    placed = counts.repartitionByRange("n", "token").sortWithinPartitions("n", "token")
-    row = F.monotonically_increasing_id()
-    fixed = cut(placed.select("token", F.shiftright(row, 33).alias("pid"), row.bitwiseAND(F.lit((1 << 33) - 1)).alias("no")), "tokens")
-    sizes = sorted((r.pid, r.n) for r in fixed.groupBy("pid").agg(F.count("*").alias("n")).collect())
-    starts, at = [], 0
-    for pid, n in sizes:
-        starts += [F.lit(pid), F.lit(at).cast("bigint")]
-        at += n
-    offset = F.create_map(*starts)[F.col("pid")] if starts else F.lit(0).cast("bigint")
-    return fixed.select("token", (offset + F.col("no")).alias("rank"))
+    """(token, rank) of the rows' tokens, rank 0 upwards by rising frequency, ties by token."""
+    return in_order(tokens.groupBy("token").agg(F.count("*").alias("n")), ["n", "token"], "rank").select("token", "rank")
 
 
 def classes(members: DataFrame, tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -81,7 +69,10 @@ def similar_classes(grouped: DataFrame, t: Fraction = THRESHOLD) -> DataFrame:
     fits = (F.col("small_size") < F.col("large_size")) | (F.col("small") < F.col("large"))
     room = F.least(F.col("small_size") - F.col("i"), F.col("large_size") - F.col("j")) >= need
     both = F.array_intersect("small_set", "large_set")
-    pairs = index.join(probe, ["token", "partner"]).where(fits & room).withColumn("both", both)
+    # one whole number for (token, size): sets have under 2^20 tokens; a list that many probes ask for is repeated per salt
+    key = F.col("token") * (1 << 20) + F.col("partner")
+    index, probe = index.withColumn("key", key).drop("partner"), probe.withColumn("key", key).drop("partner", "token")
+    pairs = lookup_join(probe, index, "key", "inner").where(fits & room).withColumn("both", both)
     pairs = pairs.where((F.size("both") >= need) & (F.col("both")[0] == F.col("token"))).withColumn("overlap", F.size("both"))
     return pairs.select("small", "large", "overlap", (F.col("overlap") / (F.col("small_size") + F.col("large_size") - F.col("overlap"))).alias("similarity"))
 
