@@ -183,12 +183,15 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> Data
     """
     pairs = edges.where(F.col("source") != F.col("target")).select(F.col("source").alias("u"), F.col("target").alias("v"))
 
+    used: list[DataFrame] = []
+
     def star(rows: DataFrame, large: bool) -> DataFrame:
         if large:
             rows = rows.select(F.inline(F.array(F.struct(F.col("u"), F.col("v")), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
         else:
             rows = rows.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        hung = with_group_min(rows, "u", F.least("u", "v"), "m")
+        hung, least = with_group_min(rows, "u", F.least("u", "v"), "m")
+        used.append(least)
         if large:
             return hung.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         return hung.select(F.inline(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v"))))).where("u <> v").distinct()
@@ -199,8 +202,9 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> Data
     for _ in range(max_rounds):
         half, seen = cut(star(now, True), "star"), Observation()
         new = cut(star(half, False), "star", seen, *figures)
-        release(now)
-        release(half)
+        for old in (now, half, *used):
+            release(old)
+        used.clear()
         now, before, mark = new, mark, seen.get
         if mark == before:
             roots = now.groupBy(F.col("u").alias("slug")).agg(F.min("v").alias("root"))

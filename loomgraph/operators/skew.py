@@ -44,8 +44,8 @@ def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "left",
     return left.join(right, [key, "__salt"], how).drop("__salt")
 
 
-def with_group_min(rows: DataFrame, key: str, value: Column, name: str) -> DataFrame:
-    """rows with the least `value` of their key's group as column `name`; null keys are left out.
+def with_group_min(rows: DataFrame, key: str, value: Column, name: str) -> tuple[DataFrame, DataFrame]:
+    """(rows with the least `value` of their key's group as column `name`, the table of minima to release() after use); null keys are left out.
 
     The groups' minima and sizes are one table; its largest groups are the heavy keys of the join, so no second count is made.
     """
@@ -57,4 +57,4 @@ def with_group_min(rows: DataFrame, key: str, value: Column, name: str) -> DataF
     heavy = []
     if (figures.get("most") or 0) > bound:
         heavy = [r[0] for r in least.where(F.col("__n") > bound).orderBy(F.desc("__n"), key).limit(MAX_HEAVY).select(key).collect()]
-    return lookup_join(rows, least.drop("__n"), key, "inner", heavy)
+    return lookup_join(rows, least.drop("__n"), key, "inner", heavy), least

@@ -33,7 +33,7 @@ def shared_dir(spark: SparkSession) -> str:
     Where it is unset and the master is local, a temporary folder is made once and set; on a cluster
     that is an error, since a machine's own folder dies with the machine.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if base:
         return base.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
