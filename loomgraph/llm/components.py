@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.canonical import with_canonical
 from loomgraph.operators.numbering import in_order
-from loomgraph.operators.skew import lookup_join, with_group_min
+from loomgraph.operators.skew import heavy_keys, lookup_join, with_group_min
 from loomgraph.runtime import cut, release
 
 MAX_ROUNDS = 60
@@ -36,20 +36,25 @@ def hash_to_min(pairs: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     h = F.xxhash64("v", "u")
     figures = (F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.sum(F.pmod(h, F.lit(1 << 31))).alias("s"))
     seen = Observation()
+    pairs = written = cut(pairs.select("a", "b"), "links")
+    heavy = {end: heavy_keys(pairs, end) for end in ("a", "b")}
     names = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
     names = in_order(names, ["name"], "id")
     for end in ("a", "b"):
-        pairs = lookup_join(pairs, names.select(F.col("name").alias(end), F.col("id").alias(f"{end}_id")), end, "inner")
+        pairs = lookup_join(pairs, names.select(F.col("name").alias(end), F.col("id").alias(f"{end}_id")), end, "inner", heavy[end])
     pairs = pairs.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
     now = cut(pairs.select(F.inline(both)).distinct(), "clusters", seen, *figures)
+    release(written)
     mark = seen.get
     for _ in range(max_rounds):
-        sent = with_group_min(now, "v", F.col("u"), "m").select(
+        joined, least = with_group_min(now, "v", F.col("u"), "m")
+        sent = joined.select(
             F.inline(F.array(F.struct(F.col("m").alias("v"), F.col("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u"))))
         )
         seen = Observation()
         new = cut(sent.distinct(), "clusters", seen, *figures)
         release(now)
+        release(least)
         now, before, mark = new, mark, seen.get
         if mark == before:
             groups = now.groupBy("v").agg(F.min("u").alias("m"))
