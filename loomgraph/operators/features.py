@@ -19,6 +19,7 @@ from loomgraph.sources.tables import WRITE_OPS, event_slugs, is_event
 LOG = ["ts", "op", "slugs", "actor", "dry", "ok", "err", "day"]
 KEY = ["slug", "event_type"]
 MAX_BROADCAST_KEYS = 10_000
+MAX_BROADCAST_PRINTS = 500_000
 STATE = "slug string, event_type string, n bigint, last_ms bigint"
 
 
@@ -36,12 +37,16 @@ def repeats(events: DataFrame) -> DataFrame:
     """Retractions for rows delivered more than once: every such row once, with `surplus` deliveries to take back.
 
     Rows are first grouped by a 64-bit hash alone, so that only 16 bytes a row are shuffled; only the rows whose hash
-    occurs again are then compared in full, so a clash of hashes retracts nothing.
+    occurs again are then compared in full, so a clash of hashes retracts nothing. Few such hashes, counted first, are broadcast.
     """
     cols = [c for c in LOG if c in events.columns]
     print_ = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in cols])
     again = events.groupBy(print_.alias("__print")).agg(F.count("*").alias("c")).where("c > 1").select("__print")
-    twice = lookup_join(events.select(*cols, print_.alias("__print")), again, "__print", "left_semi", heavy=[])
+    again, rows = cut(again, "prints"), events.select(*cols, print_.alias("__print"))
+    if again.count() <= MAX_BROADCAST_PRINTS:
+        twice = rows.join(F.broadcast(again), "__print", "left_semi")
+    else:
+        twice = lookup_join(rows, again, "__print", "left_semi")
     return twice.groupBy(*cols).agg((F.count("*") - 1).alias("surplus")).where("surplus > 0")
 
 
