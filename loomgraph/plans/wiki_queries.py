@@ -224,6 +224,11 @@ _HYP = r"regexp_matches(coalesce(content, ''), '(?i)status:\s*hypothesis')"
 _INSTANT = r"'[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}:[0-9]{2}([.][0-9]{3})?(Z|[+-][0-9]{2}:[0-9]{2})'"
 _CLOCK = "coalesce(nullif(checked, ''), nullif(as_of, ''))"
 
+_REACH = """, adjn AS (SELECT a, b FROM adj SEMI JOIN nodes x ON a = x.slug SEMI JOIN nodes y ON b = y.slug),
+reach AS (SELECT slug AS a, slug AS b FROM nodes UNION SELECT reach.a, adjn.b FROM reach JOIN adjn ON reach.b = adjn.a),
+comp AS (SELECT a AS slug, min(b) AS component FROM reach GROUP BY 1), csize AS (SELECT component, count(*) AS n FROM comp GROUP BY 1)
+"""
+
 SQL = {
     "stats_types": _BASE + "SELECT type, count(*) AS n FROM nodes GROUP BY 1",
     "stats_totals": _BASE + "SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM et) AS edges",
@@ -237,6 +242,11 @@ SQL = {
     "degree_stats": _BASE + f", {_STATS} SELECT * FROM st",
     "hubs": _BASE + f", {_STATS} SELECT slug, n_in, n_out, total FROM deg, st WHERE st.max > st.median AND CASE WHEN p95 < st.max THEN total > p95 ELSE total >= st.max END ORDER BY total DESC, ord LIMIT 20",
     "isolated": _BASE + "SELECT slug FROM deg WHERE total = 0",
+    "components": _BASE + _REACH + "SELECT slug, component FROM comp",
+    "component_summary": _BASE
+    + _REACH
+    + "SELECT count(*) AS components, max(n) AS largest, floor(max(n) / sum(n) * 100 + 0.5) / 100 AS ratio, floor((1 - max(n) / sum(n)) * 100 + 0.5) / 100 AS fragmentation FROM csize",
+    "small_components": _BASE + _REACH + "SELECT component, n, (SELECT string_agg(slug, ',' ORDER BY slug) FROM comp WHERE comp.component = csize.component) AS slugs FROM csize WHERE n < 5",
     **{f"bfs_k{k}": _BASE + f"SELECT slug, depth FROM hop WHERE depth <= {k}" for k in (1, 2, 3)},
     "subgraph_center": _BASE + "SELECT source, target FROM et SEMI JOIN (SELECT slug FROM hop JOIN nodes USING (slug) WHERE depth <= 1) a ON source = a.slug SEMI JOIN (SELECT slug FROM hop JOIN nodes USING (slug) WHERE depth <= 1) b ON target = b.slug",
     "edges_in_out": _BASE + f"SELECT source, target, relation, 'inbound' AS direction FROM et WHERE target = '{CENTER}' UNION ALL SELECT source, target, relation, 'outbound' FROM et WHERE source = '{CENTER}'",
