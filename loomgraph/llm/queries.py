@@ -111,6 +111,10 @@ pairs AS (SELECT slug_a, slug_b FROM common JOIN sizes x ON x.slug = slug_a JOIN
 """
 
 SQL = {
+    "p5_found": f"""WITH RECURSIVE e AS (SELECT DISTINCT {canonical_sql('source')} AS a, {canonical_sql('target')} AS b FROM edges),
+adj AS (SELECT a, b FROM e WHERE a IS NOT NULL AND b IS NOT NULL UNION SELECT b, a FROM e WHERE a IS NOT NULL AND b IS NOT NULL),
+reach AS (SELECT a, a AS b FROM adj UNION SELECT reach.a, adj.b FROM reach JOIN adj ON reach.b = adj.a)
+SELECT a AS slug, min(b) AS group_slug FROM reach GROUP BY 1""",
     "p3_found": _TERMS + "SELECT field, term, mark FROM m WHERE mark IS NOT NULL",
     "p3_frequencies": _TERMS + "SELECT field, term, n, n_records, mark FROM m",
     "p7_found": _SETS + "SELECT slug_a, slug_b FROM pairs",
