@@ -184,6 +184,19 @@ def test_walk_is_seeded(spark):
     assert Tuning().seed_count == 7 and Tuning(certainty=1.0).seed_count == 5 and Tuning().merged(forget={"stale": 1.0}).forget["unread"] == 0.35
 
 
+def test_walk_draws_from_every_page(spark):
+    n, seed = 60_000, "20260807"
+    pool = sorted(((f"p{i:05}", i % 7 / 50) for i in range(n)), key=lambda p: (-p[1], p[0]))
+    near = {f"p{i:05}": [f"p{j:05}" for j in (i - 1, i + 1) if 0 <= j < n] for i in range(n)}
+    slug = lambda i: F.format_string("p%05d", i)
+    ranking = spark.range(n, numPartitions=8).select(slug("id").alias("slug"), (F.col("id") % 7 / 50).alias("score"))
+    ring = spark.range(n - 1).select(slug("id").alias("source"), slug(F.col("id") + 1).alias("target"), F.col("id").alias("ord"))
+    want = [(i, j, p) for i, s in enumerate(walk.scenes(pool, near, seed)) for j, p in enumerate(s["nodes"])]
+    assert [(r.scene, r.step, r.node) for r in walk.walk(ranking, ring, seed).orderBy("scene", "step").collect()] == want
+    low = {s for s, _ in pool[50_000:]}
+    assert any(p in low for *_, p in want)
+
+
 SLUGS = {"Hello World": "hello-world", "AI基建周期": "ai基建周期", "Ｈｅｌｌｏ": "hello", "（テスト）": "テスト", "a -- b --- c": "a-b-c", "-hello-": "hello", "hello@world!": "helloworld", "a/b\\c": "abc", "英伟达 (NVIDIA)": "英伟达-nvidia", "console": "console", "@#$%": None, "": None, "con": None, "com1": None}
 
 
