@@ -1,8 +1,8 @@
 """Frequency of every distinct term (problem 3) by an external sort and a run-length scan.
 
-(term, record) pairs are range-partitioned on all sort columns, so a hot term spreads over as many partitions as it needs, and equal
-pairs always meet. Each partition is sorted (spilling to disk as needed) and scanned once; a run that crosses a partition's
-end leaves one partial count on either side, and these few rows are added up.
+(term, record) pairs are range-partitioned on (field, term, record), so a hot term spreads over as many partitions as it needs, and all
+places of a term in one record meet. Each partition is sorted on all columns (spilling to disk as needed) and scanned once; a term's run
+that crosses a partition's end leaves one partial count on either side, and these few rows are added up.
 """
 
 from __future__ import annotations
@@ -80,7 +80,7 @@ def term_frequencies(pairs: DataFrame) -> DataFrame:
 
     pairs has COLUMNS, none of them null. Repeated rows are one place.
     """
-    placed = pairs.select(*COLUMNS).repartitionByRange(*COLUMNS).sortWithinPartitions(*COLUMNS)
+    placed = pairs.select(*COLUMNS).repartitionByRange(*COLUMNS[:3]).sortWithinPartitions(*COLUMNS)
     partial = placed.mapInArrow(_scan, "field string, term string, n bigint, n_records bigint")
     return partial.groupBy("field", "term").agg(F.sum("n").alias("n"), F.sum("n_records").alias("n_records"))
 

@@ -33,6 +33,20 @@ def test_terms_handle_nulls_repeats_and_hot_terms(spark):
     assert marks == {"x": "rare", "y": "common", "z": None}
 
 
+def test_terms_count_a_record_once_over_many_partitions(spark):
+    rows = [(f"p{i % 10}", i, ["a"] * 20, None, None, None) for i in range(100)]
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "48"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = [tuple(r) for r in terms.term_frequencies(terms.page_terms(pages(spark, rows))).collect()]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got == [("tags", "a", 2000, 10)]
+
+
 def test_terms_of_nothing(spark):
     assert terms.term_frequencies(terms.page_terms(pages(spark, []))).count() == 0
 
