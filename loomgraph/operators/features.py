@@ -23,6 +23,11 @@ MAX_BROADCAST_PRINTS = 500_000
 STATE = "slug string, event_type string, n bigint, last_ms bigint"
 
 
+def logged(events: DataFrame) -> list[str]:
+    """The columns of a log that decide which rows are equal."""
+    return [c for c in LOG if c in events.columns]
+
+
 def keyed(events: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """(slug, event_type, ms, *keep) of every event row; rows that are no events are left out."""
     keep = keep or []
@@ -39,7 +44,7 @@ def repeats(events: DataFrame) -> DataFrame:
     Rows are first grouped by a 64-bit hash alone, so that only 16 bytes a row are shuffled; only the rows whose hash
     occurs again are then compared in full, so a clash of hashes retracts nothing. Few such hashes, counted first, are broadcast.
     """
-    cols = [c for c in LOG if c in events.columns]
+    cols = logged(events)
     print_ = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in cols])
     again = events.groupBy(print_.alias("__print")).agg(F.count("*").alias("c")).where("c > 1").select("__print")
     again, rows = cut(again, "prints"), events.select(*cols, print_.alias("__print"))

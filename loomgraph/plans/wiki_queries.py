@@ -118,7 +118,7 @@ QUERIES = {
     "usage_window7": lambda s, d: usage.with_universe(usage.counts(usage.events(usage.window(_log(s, d), LAST_DAY, 7))), _nodes(s, d)).select("slug", "reads", "writes"),
     "usage_totals": lambda s, d: usage.totals(_log(s, d), _events(s, d)),
     "usage_exclude_actor": lambda s, d: usage.counts(_events(s, d, exclude_actor="dream")).select("slug", "total"),
-    "usage_daily": lambda s, d: daily(_log(s, d).distinct()).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "slug", "reads", "writes"),
+    "usage_daily": lambda s, d: daily(_log(s, d)).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "slug", "reads", "writes"),
     "pressure": _pressure,
     "salience": lambda s, d: _salience(s, d).select("slug", "score", "used", "n_in", "overdue_days"),
     "forgettability": lambda s, d: scoring.forgettability(_salience(s, d)).select("slug", "forget_score"),

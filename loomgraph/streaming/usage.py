@@ -21,10 +21,11 @@ def read_log(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def daily(log: DataFrame, late: str = f"{RETENTION_DAYS} days") -> DataFrame:
-    """(day, slug, reads, writes) by the event's own UTC day; works on a stream (watermark on the instant) and on a table."""
+    """(day, slug, reads, writes) by the event's own UTC day; works on a stream (watermark on the instant) and on a table. Repeated rows count once."""
     rows = log.where(is_event()).withColumn("at", instant(F.col("ts")))
     if log.isStreaming:
         rows = rows.withWatermark("at", late)
+    rows = rows.dropDuplicates([*features.logged(log), "at"])  # the instant is part of the key, so that the watermark ends a stream's memory
     flat = event_slugs(rows, ["at", "op"])
     write = F.col("op").isin(WRITE_OPS)
     per = flat.groupBy(F.window("at", "1 day").alias("w"), "slug").agg(F.count_if(~write).alias("reads"), F.count_if(write).alias("writes"))
@@ -34,19 +35,28 @@ def daily(log: DataFrame, late: str = f"{RETENTION_DAYS} days") -> DataFrame:
 class FeatureTable:
     """The per-entity feature state under a folder, advanced by foreachBatch: every batch is deltas added to the newest version.
 
-    Versions are written whole and named by batch, so a batch run again after a failure writes the same version.
+    A row delivered again, in one batch or in a later one, is never inserted, so nothing has to be retracted: the rows inserted
+    so far are kept beside the versions, in `rows`. Both are written whole and named by batch, so a batch run again after a failure writes the same.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
-    def version(self, before: int | None = None) -> DataFrame | None:
+    def _found(self, before: int | None) -> list[int]:
         found = sorted(int(n) for n in os.listdir(self.folder) if n.isdigit()) if os.path.isdir(self.folder) else []
-        found = [n for n in found if (before is None or n < before) and os.path.exists(f"{self.folder}/{n}/_SUCCESS")]
+        return [n for n in found if (before is None or n < before) and os.path.exists(f"{self.folder}/{n}/_SUCCESS")]
+
+    def version(self, before: int | None = None) -> DataFrame | None:
+        found = self._found(before)
         return self.spark.read.parquet(f"{self.folder}/{found[-1]}") if found else None
 
     def advance(self, batch: DataFrame, batch_id: int) -> None:
-        state = features.apply_deltas(self.version(before=batch_id), features.deltas(features.keyed(batch), 1), None)
+        rows, path = batch.select(*features.logged(batch)), f"{self.folder}/rows/{batch_id}"
+        seen = [f"{self.folder}/rows/{n}" for n in self._found(batch_id)]
+        fresh = rows.subtract(self.spark.read.parquet(*seen).select(*rows.columns)) if seen else rows.distinct()
+        fresh.write.mode("overwrite").parquet(path)
+        fresh = self.spark.read.schema(rows.schema).parquet(path)
+        state = features.apply_deltas(self.version(before=batch_id), features.deltas(features.keyed(fresh), 1), None)
         state.write.mode("overwrite").parquet(f"{self.folder}/{batch_id}")
 
     def start(self, log: DataFrame, checkpoint: str):

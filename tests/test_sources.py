@@ -158,3 +158,19 @@ def test_stream_equals_batch(spark, tmp_path):
     table.start(stream.read_log(spark, str(folder)), str(tmp_path / "cp")).awaitTermination(120)
     got = sorted(map(tuple, table.version().collect()))
     assert got == sorted(map(tuple, features.features(usage_log.read(spark, str(folder))).select("slug", "event_type", "n", "last_ms").collect()))
+
+
+def test_stream_counts_a_repeated_row_once(spark, tmp_path):
+    schema = "ts string, op string, slugs array<string>, actor string, dry boolean, ok boolean, err string, day date"
+    row = lambda d, op="get_node": (f"2025-06-0{d}T00:00:00Z", op, ["a", "b"], None, None, True, None, dt.date(2025, 6, d))
+    batches = [[row(1), row(2), row(2)], [row(2), row(1, "update_node"), row(3), row(3)], [row(3)]]
+    table = stream.FeatureTable(spark, str(tmp_path / "features"))
+    for i in (0, 1, 1, 2):
+        table.advance(spark.createDataFrame(batches[i], schema), i)
+    want = features.features(spark.createDataFrame(sum(batches, []), schema))
+    assert sorted(map(tuple, table.version().collect())) == sorted(map(tuple, want.collect()))
+    for i, b in enumerate(batches):
+        spark.createDataFrame(b, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+    days = stream.daily(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "log")))
+    days.writeStream.outputMode("complete").format("memory").queryName("days_once").trigger(availableNow=True).start().awaitTermination(120)
+    assert sorted((r.day.day, r.slug, r.reads, r.writes) for r in spark.table("days_once").collect()) == [(d, s, 1, int(d == 1)) for d in (1, 2, 3) for s in "ab"]
