@@ -40,6 +40,11 @@ def p2_features(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("slug", "reads", "writes", "last_ts", F.size("by_type").cast("bigint").alias("n_types"))
 
 
+def p2_by_type(spark: SparkSession, d: str) -> DataFrame:
+    """One row per slug: reads, writes, last instant, and for each event type its count and last instant."""
+    return features.feature_rows(features.features(table(spark, d, "usage_events")))
+
+
 def _edge_counts(spark: SparkSession, d: str) -> DataFrame:
     keys = with_canonical(table(spark, d, "edges").select("source"), "key", F.col("source")).select("key")
     return chunks.chunked_counts(keys, "key")
@@ -88,6 +93,7 @@ QUERIES = {
     "p1_counts": p1_counts,
     "p2_found": p2_found,
     "p2_features": p2_features,
+    "p2_by_type": p2_by_type,
     "p4_found": p4_found,
     "p4_counts": p4_counts,
     "p6_found": p6_found,
@@ -145,6 +151,10 @@ SELECT table_name, field, month, kind, count(*) AS n, count(DISTINCT ord) AS n_r
     "p2_found": f"WITH {_EVENTS} SELECT slug, op || ':' || coalesce({canonical_sql('actor')}, 'lib') AS event_type, count(*) AS n, {_UTC} AS last_ts FROM el GROUP BY 1, 2",
     "p2_features": f"""WITH {_EVENTS} SELECT slug, count(*) FILTER (WHERE op NOT IN ({_OPS})) AS reads, count(*) FILTER (WHERE op IN ({_OPS})) AS writes, {_UTC} AS last_ts,
 count(DISTINCT op || ':' || coalesce({canonical_sql('actor')}, 'lib')) AS n_types FROM el GROUP BY 1""",
+    "p2_by_type": f"""WITH {_EVENTS}, per AS (SELECT slug, op || ':' || coalesce({canonical_sql('actor')}, 'lib') AS event_type, count(*) AS n, {_UTC} AS last_ts,
+count(*) FILTER (WHERE op NOT IN ({_OPS})) AS reads, count(*) FILTER (WHERE op IN ({_OPS})) AS writes FROM el GROUP BY 1, 2)
+SELECT slug, CAST(sum(reads) AS BIGINT) AS reads, CAST(sum(writes) AS BIGINT) AS writes, max(last_ts) AS last_ts,
+list(struct_pack(event_type := event_type, n := n, last_ts := last_ts) ORDER BY event_type) AS by_type FROM per GROUP BY 1""",
     "p4_found": _KEYS + "SELECT field, key FROM counts WHERE field = 'edges.source' AND n * 100 >= (SELECT count(key) FROM ek) OR field = 'kg_pages.sources' AND n >= 3",
     "p4_counts": _KEYS + "SELECT field, key, n FROM counts",
     "p6_found": _DAILY + "SELECT slug, window_days, strftime(day, '%Y-%m-%d') AS day FROM roll WHERE reads = 0 AND total > 0",
