@@ -41,6 +41,19 @@ def _salience(s: SparkSession, d: str) -> DataFrame:
     return scoring.salience(n, _edges(s, d), _used(s, d), freshness.overdue(n, TODAY, ignore_updated=True), TODAY)
 
 
+def _listing(rows: DataFrame, take) -> DataFrame:
+    """(path, mtime, size): every slug's file at its first (take = F.min) or last (F.max) scan, with the scan as its time and, as the tables hold no texts, the title's bytes as its size."""
+    seen = rows.select("slug", F.struct(F.col("ord").alias("mtime"), "path", F.octet_length("title").alias("size")).alias("s")).groupBy("slug").agg(take("s").alias("s"))
+    return seen.groupBy(F.col("s.path").alias("path")).agg(F.max(F.struct("s.mtime", "s.size")).alias("t")).select("path", "t.mtime", "t.size")
+
+
+def _changed_both_ways(s: SparkSession, d: str) -> DataFrame:
+    """From the first scan of kg_pages to the last one of all pages: moved pages are gone at one path and added at another, anchors are added."""
+    cols = ["slug", "ord", "path", "title"]
+    pages = table(s, d, "kg_pages").select(*cols)
+    return P.changed_files(_listing(pages, F.min), _listing(pages.unionByName(table(s, d, "anchor_nodes").select(*cols)), F.max))
+
+
 def _doc_links(s: SparkSession, d: str) -> DataFrame:
     rows = table(s, d, "documents").where(F.contains("text", F.lit("[[")))
     return rows.select("doc_id", F.posexplode(X.wikilinks(F.col("text"))).alias("pos", "target"))
@@ -135,8 +148,9 @@ QUERIES = {
     "index_lines": lambda s, d: dml.index_lines(_nodes(s, d)).select(F.col("place").cast("bigint").alias("place"), "heading", "slug", "line"),
     "scan_changed_files": lambda s, d: P.changed_files(
         table(s, d, "kg_pages").groupBy("path").agg(F.min("ord").alias("mtime"), F.lit(1).alias("size")),
-        table(s, d, "kg_pages").where("slug <> 'x'").groupBy("path").agg(F.max("ord").alias("mtime"), F.lit(1).alias("size")),
+        table(s, d, "kg_pages").groupBy("path").agg(F.max("ord").alias("mtime"), F.lit(1).alias("size")),
     ),
+    "scan_changed_both_ways": _changed_both_ways,
 }
 
 # ---- SQL ----
@@ -302,5 +316,13 @@ unnest([(SELECT count(*) FROM own WHERE created > '{SINCE}'), (SELECT count(*) F
     + f"""SELECT CAST(CASE WHEN list_contains({_KNOWN}, type) THEN list_position({_KNOWN}, type) ELSE 9 END AS BIGINT) AS place, CASE type WHEN 'entity' THEN 'Entities' WHEN 'concept' THEN 'Concepts' WHEN 'source' THEN 'Sources' WHEN 'query' THEN 'Queries'
 WHEN 'comparison' THEN 'Comparisons' WHEN 'synthesis' THEN 'Synthesis' WHEN 'dream' THEN 'Dreams' WHEN 'overview' THEN 'Overview' ELSE 'Other' END AS heading, slug, '- [[' || slug || ']] — ' || coalesce(title, '') AS line FROM nodes""",
     "scan_changed_files": "SELECT path, 'changed' AS change FROM kg_pages GROUP BY path HAVING min(ord) <> max(ord)",
+    "scan_changed_both_ways": """WITH f AS (SELECT slug, path, ord AS mtime, strlen(title) AS size FROM kg_pages),
+l AS (SELECT * FROM f UNION ALL SELECT slug, path, ord, strlen(title) FROM anchor_nodes),
+a AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY slug ORDER BY mtime, path NULLS FIRST, size NULLS FIRST) = 1),
+b AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY slug ORDER BY mtime DESC, path DESC NULLS LAST, size DESC NULLS LAST) = 1),
+o AS (SELECT path, mtime, size, true AS there FROM a QUALIFY row_number() OVER (PARTITION BY path ORDER BY mtime DESC, size DESC NULLS LAST) = 1),
+n AS (SELECT path, mtime, size, true AS there FROM b QUALIFY row_number() OVER (PARTITION BY path ORDER BY mtime DESC, size DESC NULLS LAST) = 1)
+SELECT coalesce(o.path, n.path) AS path, CASE WHEN o.there IS NULL THEN 'added' WHEN n.there IS NULL THEN 'gone' ELSE 'changed' END AS change
+FROM o FULL JOIN n ON o.path = n.path WHERE o.there IS NULL OR n.there IS NULL OR o.mtime <> n.mtime OR o.size IS DISTINCT FROM n.size""",
 }
 __all__ = ["QUERIES", "SQL", "Tuning"]

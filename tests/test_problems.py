@@ -28,6 +28,11 @@ def test_wiki_query_equals_sql(spark, name):
     assert compare(spark, SF, name) == ""
 
 
+def test_changed_files_come_in_all_three_kinds(spark):
+    got = wiki_queries.QUERIES["scan_changed_both_ways"](spark, SF.replace("0.001", "0.01"))
+    assert {r.change for r in got.select("change").distinct().collect()} == {"added", "gone", "changed"}
+
+
 def test_canonical(spark):
     cases = [("Ｔｅｓｔ ", "test"), ("[[ A b ]]", "a b"), ("　[[x]]\n", "x"), ("[[]]", None), (" ", None), (None, None), ("[[a", "[[a"), ("É", "é"), ("dir/A#b.md", "dir/a#b.md"), ("[[[[a]]]]", "[[a]]")]
     df = spark.createDataFrame([(i, a) for i, (a, _) in enumerate(cases)], "i int, x string")
