@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.canonical import with_canonical
 from loomgraph.functions.dates import instant, utc_date
-from loomgraph.operators.skew import lookup_join
+from loomgraph.operators.skew import Heavy, lookup_join
 from loomgraph.sources.tables import WRITE_OPS, event_slugs, is_event
 
 
@@ -81,7 +81,7 @@ def rolling_totals(daily: DataFrame, requests: DataFrame, first: dt.date | None,
     """
     schema = "slug string, window_days bigint, day date, reads bigint, total bigint, active_days bigint, busiest bigint, average double"
     days = requests.select("slug").distinct()
-    mine = lookup_join(daily, days, "slug", "left_semi", heavy=[])  # one row per slug and day: no key is heavy
+    mine = lookup_join(daily, days, "slug", "left_semi", heavy=Heavy())  # one row per slug and day: no key is heavy
     joined = requests.join(mine, "slug", "left").select("slug", "window_days", "day", "n")
     if first is None or last is None:
         return joined.sparkSession.createDataFrame([], schema)

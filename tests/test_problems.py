@@ -70,6 +70,42 @@ def test_lookup_join_spreads_heavy_and_null_keys(spark):
     assert skew.heavy_keys(left.where("false"), "k") == []
 
 
+def test_lookup_join_spreads_over_many_partitions(spark, monkeypatch):
+    """No task has twice its fair share, with 200 partitions, many heavy keys and either way of finding them; equal rows of many input partitions are spread too."""
+    k = F.when(F.col("id") < 100_000, "hot").when(F.col("id") < 130_000, "warm").when(F.col("id") < 140_000, F.concat(F.lit("w"), (F.col("id") % 5).cast("string"))).when(F.col("id") < 150_000, None)
+    left = spark.range(0, 200_000, 1, 40).select(k.otherwise(F.concat(F.lit("k"), F.col("id").cast("string"))).alias("k"), F.col("id").alias("i"))
+    right = spark.createDataFrame([("hot", 1), ("warm", 2), ("w1", 3), ("w1", 4)], "k string, v int")
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "200"}
+    saved = {c: spark.conf.get(c) for c in conf}
+    try:
+        for c, v in conf.items():
+            spark.conf.set(c, v)
+        heavy = skew.heavy_keys(left, "k")
+        monkeypatch.setattr(skew, "TOP_K_PARTS", 0)
+        again = skew.heavy_keys(left, "k")
+        assert heavy == again == ["hot", "warm", "w0", "w1", "w2", "w3", "w4"] and heavy.rows == again.rows and heavy.total == again.total == 190_000
+        for how, n in (("left", 202_000), ("inner", 134_000), ("left_semi", 132_000), ("left_anti", 68_000)):
+            tasks = [r["count"] for r in skew.lookup_join(left, right, "k", how, heavy).groupBy(F.spark_partition_id()).count().collect()]
+            assert sum(tasks) == n
+            assert how == "left_anti" or max(tasks) < 2 * n / 200
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        equal = spark.range(0, 100_000, 1, 400).select(F.lit("hot").alias("k"))
+        tasks = [r["count"] for r in skew.lookup_join(equal, right, "k").groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(tasks) == 100_000 and max(tasks) < 2 * 100_000 / 8
+    finally:
+        for c, v in saved.items():
+            spark.conf.set(c, v)
+
+
+def test_salts_hash_as_spark_does(spark):
+    for parts in (7, 200):
+        for key in ("hot", "漢"):
+            seed = spark.range(1).select(F.hash(F.lit(key))).first()[0]
+            salts = skew.places(seed, parts, parts)
+            at = spark.createDataFrame([(x,) for x in salts], "s int").select(F.pmod(F.hash(F.lit(key), "s"), F.lit(parts)).alias("p"))
+            assert at.distinct().count() == parts and len(skew.places(seed, 3, parts)) == 3
+
+
 def test_bloom_never_denies_a_key(spark):
     keys = spark.range(5000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("k"))
     for most in (64, bloom.MAX_WORDS):
