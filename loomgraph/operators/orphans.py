@@ -1,12 +1,14 @@
 """References to records that do not exist (problem 1).
 
 A broadcast Bloom filter of the parent keys proves most orphans at once; only the filter-positive references
-reach an exact join, which decides the rest. The filter has a fixed largest size, so it may be broadcast whatever the
-number of parents; when it is too small for them, more references go to the join and the answer is the same.
+reach an exact join, which decides the rest. One filter has a fixed largest size, so it may be broadcast; more parents than it is made for
+are parted by hash, and the references of each part meet that part's filter alone.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from loomgraph.functions.canonical import with_canonical
 from loomgraph.functions.dates import real_date
 from loomgraph.operators import bloom
 from loomgraph.operators.skew import lookup_join
-from loomgraph.runtime import cut
+from loomgraph.runtime import cut, release
 from loomgraph.sources.tables import event_slugs, is_event
 
 FIELDS = ("related", "wikilink_targets", "superseded_by")
@@ -56,6 +58,26 @@ def parents(tables: list[DataFrame], events: DataFrame | None = None) -> DataFra
     return rows.groupBy("slug").agg(F.max("here").alias("here"), F.min("created").alias("created"), F.max("deleted").alias("deleted"))
 
 
+def tried(refs: DataFrame, keys: DataFrame, max_words: int = bloom.MAX_WORDS) -> DataFrame:
+    """refs with `maybe`, False where the filter proves that no key equals the target; written down. keys (slug) is a written table.
+
+    With several shards both sides are written parted by shard, and one filter at a time is broadcast and gone again.
+    """
+    words, shards = bloom.size_for(keys.count(), max_words)
+    if shards == 1:
+        return cut(bloom.probe(refs, "target", bloom.build(keys, "slug", words), words), "refs")
+    split = lambda df, key, tag: cut(df.withColumn("__shard", bloom.shard(F.col(key), shards)), tag, by="__shard")
+    own, parted = split(keys.select("slug"), "slug", "keys"), split(refs, "target", "refs")
+    parts = []
+    for i in range(shards):
+        here = F.col("__shard") == i
+        table = bloom.build(own.where(here), "slug", words)
+        parts.append(cut(bloom.probe(parted.where(here).drop("__shard"), "target", table, words), "refs"))
+    release(own)
+    release(parted)
+    return reduce(DataFrame.unionByName, parts)
+
+
 def orphan_references(refs: DataFrame, keys: DataFrame, max_words: int = bloom.MAX_WORDS) -> DataFrame:
     """refs (any columns, with target and updated) that point nowhere, were deleted or came later, with their `kind`.
 
@@ -64,18 +86,16 @@ def orphan_references(refs: DataFrame, keys: DataFrame, max_words: int = bloom.M
     null targets are no references. Empty inputs give empty results. One extra column, `proof`, says `filter` or `join`.
     """
     keys = cut(keys, "parents")
-    refs = refs.where(F.col("target").isNotNull())
-    words = bloom.words_for(keys.count(), max_words)
-    tried = cut(bloom.probe(refs, "target", bloom.build(keys, "slug", words), words), "refs")
-    sure = tried.where(~F.col("maybe")).drop("maybe").withColumn("kind", F.lit("missing")).withColumn("proof", F.lit("filter"))
+    rows = tried(refs.where(F.col("target").isNotNull()), keys, max_words)
+    sure = rows.where(~F.col("maybe")).drop("maybe").withColumn("kind", F.lit("missing")).withColumn("proof", F.lit("filter"))
     names = {c: f"__k_{c}" for c in ("here", "created", "deleted")}
     found = keys.select(F.col("slug").alias("target"), *[F.col(c).alias(n) for c, n in names.items()])
-    joined = lookup_join(tried.where("maybe").drop("maybe"), found, "target")
+    joined = lookup_join(rows.where("maybe").drop("maybe"), found, "target")
     late = real_date(F.col("updated")) < F.col("__k_created")
     kind = (
         F.when(F.coalesce("__k_here", F.lit(False)), F.when(late, "later"))
         .when(F.coalesce("__k_deleted", F.lit(False)), "deleted")
-        .otherwise("missing")
+        .otherwise("missing")  # passed the filter by chance
     )
     rest = joined.withColumn("kind", kind).where(F.col("kind").isNotNull()).drop(*names.values()).withColumn("proof", F.lit("join"))
     return sure.unionByName(rest)

@@ -108,15 +108,23 @@ def test_salts_hash_as_spark_does(spark):
 
 def test_bloom_never_denies_a_key(spark):
     keys = spark.range(5000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("k"))
-    for most in (64, bloom.MAX_WORDS):
-        words = bloom.words_for(5000, most)
+    probe = spark.range(10_000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("k"))
+    for words in (64, bloom.size_for(5000)[0], 5000):
         table = bloom.build(keys, "k", words)
-        assert table.count() <= words
-        probe = spark.range(10_000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("k"))
+        assert table.agg(F.sum(F.size("bits"))).first()[0] == words and table.count() == -(-words // bloom.BLOCK)
         got = bloom.probe(probe, "k", table, words).withColumn("no", F.substring("k", 2, 9).cast("int"))
         assert got.where("no < 5000 AND NOT maybe").count() == 0
-        wrong = got.where("no >= 5000 AND maybe").count()
-        assert wrong < 300 or most == 64
+        assert got.where("no >= 5000 AND maybe").count() < 300 or words == 64
+    assert bloom.size_for(0) == (1, 1) and bloom.size_for(10 * 256, 64) == (64, 10)
+
+
+def test_filter_still_proves_misses_beyond_its_size(spark):
+    """Ten times the keys of one filter: ten shards, and no more references left to the join than with one."""
+    keys = spark.range(10 * 256).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("slug"), F.lit(True).alias("here"), F.lit(None).cast("string").alias("created"), F.lit(False).alias("deleted"))
+    refs = spark.range(2 * 2560).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("target"), F.lit(None).cast("string").alias("updated"), F.lit(1).alias("block"))
+    for most in (64, bloom.MAX_WORDS):
+        got = orphans.orphan_references(refs, keys, most)
+        assert got.where("kind = 'missing'").count() == got.count() == 2560 and got.where("proof = 'filter'").count() > 2400
 
 
 @pytest.mark.parametrize("words", [64, bloom.MAX_WORDS])
