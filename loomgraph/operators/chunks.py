@@ -1,16 +1,16 @@
 """Per-key results where a few keys hold most rows: exact offset chunking (problem 4).
 
-Rows are counted per key and input partition, the counts are prefix-summed into offsets, every row gets its exact number within
+Rows are counted per key and input partition, the counts are prefix-summed into offsets, every row of a heavy key gets its exact number within
 its key, and chunks of equal size are processed as independent tasks whose ordered boundary states are merged at the end.
-Only keys with more than one chunk need offsets; all other keys are one chunk each.
+Only keys with more than one chunk need offsets and numbers; all other keys are one chunk each. Counting and numbering run in the JVM.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,6 +20,39 @@ from loomgraph.runtime import cut, partitions
 MAX_BROADCAST_ROWS = 500_000
 
 
+class Placed:
+    """Rows written down with their input partition (`__pid`) and place in it (`__at`), and the counts that follow.
+
+    per_part: (key, __pid, n). per_key: (key, n). offsets: (key, __pid, __offset), the keys of more than one chunk alone, fewer than
+    rows / chunk_rows keys.
+    """
+
+    def __init__(self, df: DataFrame, key: str, chunk_rows: int | None):
+        row, seen = F.monotonically_increasing_id(), Observation()
+        rows = df.where(F.col(key).isNotNull())
+        place = [F.shiftright(row, 33).cast("int").alias("__pid"), row.bitwiseAND(F.lit((1 << 33) - 1)).alias("__at")]
+        self.rows = cut(rows.select(*[F.col(f"`{c}`") for c in rows.columns], *place), "placed", seen, F.count("*").alias("n"))
+        self.key, n = key, seen.get.get("n") or 0
+        self.chunk_rows = chunk_rows or max(1000, n // (4 * partitions(df.sparkSession)))
+        self.per_part = cut(self.rows.groupBy(key, "__pid").agg(F.count("*").alias("n")), "counts")
+        self.per_key = self.per_part.groupBy(key).agg(F.sum("n").alias("n"))
+        heavy = self.per_key.where(F.col("n") > self.chunk_rows).select(key)
+        before = Window.partitionBy(key).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+        some = self.per_part.join(heavy, key, "left_semi")
+        self.offsets = cut(some.withColumn("__offset", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n"), "offsets")
+        self.small = self.offsets.count() <= MAX_BROADCAST_ROWS
+
+    def with_offset(self, how: str) -> DataFrame:
+        """The rows joined with their key's offset in their input partition; few offsets, counted first, are broadcast."""
+        return self.rows.join(F.broadcast(self.offsets) if self.small else self.offsets, ["__pid", self.key], how)
+
+    def heavy_rows(self) -> DataFrame:
+        """Rows of the keys of more than one chunk, with `__row_no` and `__chunk`. A window holds one key's rows of one input partition."""
+        place = F.row_number().over(Window.partitionBy(self.key, "__pid").orderBy("__at")) - 1
+        rows = self.with_offset("inner").withColumn("__row_no", F.col("__offset") + place)
+        return rows.withColumn("__chunk", F.floor(F.col("__row_no") / self.chunk_rows)).drop("__offset", "__at")
+
+
 def numbered(df: DataFrame, key: str, chunk_rows: int | None = None) -> DataFrame:
     """df with `__pid`, `__row_no` and `__chunk`; null keys are left out, and no other column's name matters.
 
@@ -28,39 +61,18 @@ def numbered(df: DataFrame, key: str, chunk_rows: int | None = None) -> DataFram
     (__pid, __row_no) gives the input order for both.
     chunk_rows defaults to a quarter of a task's fair share of the rows.
     """
-    spark = df.sparkSession
-    rows = df.where(F.col(key).isNotNull())
-    schema = T.StructType([*rows.schema.fields, T.StructField("__pid", T.IntegerType()), T.StructField("__local", T.LongType())])
-
-    def count_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict = {}
-        for pdf in batches:
-            group = pdf.groupby(key, sort=False)[key]
-            pdf["__local"] = group.cumcount() + pdf[key].map(seen).fillna(0).astype("int64")
-            for k, n in group.size().items():
-                seen[k] = seen.get(k, 0) + n
-            yield pdf
-
-    with_pid = rows.withColumn("__pid", F.spark_partition_id())
-    order = [f.name for f in schema.fields if f.name != "__local"] + ["__local"]
-    fixed = cut(with_pid.mapInPandas(lambda it: (p[order] for p in count_up(it)), T.StructType([schema[c] for c in order])), "numbered")
-    per_part = fixed.groupBy("__pid", key).agg(F.count("*").alias("n"))
-    if chunk_rows is None:
-        chunk_rows = max(1000, fixed.count() // (4 * partitions(spark)))
-    heavy = per_part.groupBy(key).agg(F.sum("n").alias("total")).where(F.col("total") > chunk_rows)
-    before = Window.partitionBy(key).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_part.join(heavy.select(key), key, "left_semi").withColumn("__offset", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    offsets = cut(offsets, "offsets")
-    small = offsets.count() <= MAX_BROADCAST_ROWS
-    joined = fixed.join(F.broadcast(offsets) if small else offsets, ["__pid", key], "left")
-    row_no = F.coalesce("__offset", F.lit(0)) + F.col("__local")
-    return joined.withColumn("__row_no", row_no).withColumn("__chunk", F.floor(row_no / chunk_rows)).drop("__offset", "__local")
+    placed = Placed(df, key, chunk_rows)
+    light = placed.with_offset("left").where(F.col("__offset").isNull()).drop("__offset").withColumnRenamed("__at", "__row_no").withColumn("__chunk", F.lit(0).cast("bigint"))
+    return placed.heavy_rows().unionByName(light)
 
 
 def chunked_counts(df: DataFrame, key: str, chunk_rows: int | None = None) -> DataFrame:
-    """(key, n, n_chunks): rows per key, each chunk counted by itself and the chunks' states merged in order."""
-    states = numbered(df.select(key), key, chunk_rows).groupBy(key, "__chunk").agg(F.count("*").alias("n"), F.min("__row_no").alias("first"), F.max("__row_no").alias("last"))
-    return states.groupBy(key).agg(F.sum("n").alias("n"), F.count("*").alias("n_chunks"))
+    """(key, n, n_chunks): rows per key, each chunk counted by itself and the chunks' states merged. A key of one chunk is its count per partition, summed up."""
+    placed = Placed(df.select(key), key, chunk_rows)
+    states = placed.heavy_rows().groupBy(key, "__chunk").agg(F.count("*").alias("n"))
+    heavy = states.groupBy(key).agg(F.sum("n").alias("n"), F.count("*").alias("n_chunks"))
+    light = placed.per_key.where(F.col("n") <= placed.chunk_rows).withColumn("n_chunks", F.lit(1).cast("bigint"))
+    return heavy.unionByName(light)
 
 
 def chunked_apply(df: DataFrame, key: str, state: Callable[[pd.DataFrame], dict], merge: Callable[[dict, dict], dict], schema: str, chunk_rows: int | None = None) -> DataFrame:
