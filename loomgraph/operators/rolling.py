@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions.canonical import with_canonical
 from loomgraph.functions.dates import instant, utc_date
 from loomgraph.operators.skew import Heavy, lookup_join
+from loomgraph.runtime import cut
 from loomgraph.sources.tables import WRITE_OPS, event_slugs, is_event
 
 
@@ -58,6 +60,8 @@ def combine(a: tuple, b: tuple) -> tuple:
 
 
 UNIT = (0, 0, 0)
+#: Rows of the answer a task and a batch give.
+ROWS_PER_TASK, ROWS_PER_BATCH = 100_000, 10_000
 EPOCH = dt.date(1970, 1, 1)
 
 
@@ -80,43 +84,50 @@ def rolling_totals(daily: DataFrame, requests: DataFrame, first: dt.date | None,
     Days before `first` still fill the windows; slugs without reads give zero rows; first None (no day at all) gives no rows.
     """
     schema = "slug string, window_days bigint, day date, reads bigint, total bigint, active_days bigint, busiest bigint, average double"
-    days = requests.select("slug").distinct()
-    mine = lookup_join(daily, days, "slug", "left_semi", heavy=Heavy())  # one row per slug and day: no key is heavy
-    joined = requests.join(mine, "slug", "left").select("slug", "window_days", "day", "n")
+    spark = requests.sparkSession
     if first is None or last is None:
-        return joined.sparkSession.createDataFrame([], schema)
+        return spark.createDataFrame([], schema)
     lo, hi = (first - EPOCH).days, (last - EPOCH).days
-    joined = joined.select("slug", "window_days", F.datediff("day", F.lit("1970-01-01").cast("date")).alias("d"), "n")
-    placed = joined.repartition("slug", "window_days").sortWithinPartitions("slug", "window_days", "d")
-
-    def emit(slug: str, window: int, rows: list[tuple[int, int]]) -> pd.DataFrame:
-        queue, out, i = TwoStackQueue(combine, UNIT), [], 0
+    requests = cut(requests, "requests")
+    # one row per slug and day: no key is heavy here; a slug may be asked for with many windows, though
+    mine = lookup_join(daily, requests.select("slug").distinct(), "slug", "left_semi", heavy=Heavy())
+    joined = lookup_join(requests, mine.select("slug", F.datediff("day", F.lit("1970-01-01").cast("date")).alias("d"), "n"), "slug")
+    joined = joined.select("slug", "window_days", "d", "n")
+    # as many tasks as the answer needs, not as its small input would get
+    tasks = max(1, -(-requests.count() * (hi - lo + 1) // ROWS_PER_TASK))
+    placed = joined.repartition(tasks, "slug", "window_days").sortWithinPartitions("slug", "window_days", "d")
+    names = ["slug", "window_days", "d", "reads", "total", "active_days", "busiest"]
+
+    def days(slug: str, window: int, rows: list[tuple[int, int]]) -> Iterator[tuple]:
+        queue, i, end = TwoStackQueue(combine, UNIT), 0, len(rows)
         for day in range(lo, hi + 1):
             today = 0
-            while i < len(rows) and rows[i][0] <= day:
-                queue.push(rows[i][0], (rows[i][1], 1, rows[i][1]))
-                today = rows[i][1] if rows[i][0] == day else 0
+            while i < end and rows[i][0] <= day:
+                d, n = rows[i]
+                queue.push(d, (n, 1, n))
+                today = n if d == day else 0
                 i += 1
             queue.drop_before(day - window + 1)
-            out.append((today, *queue.value()))
-        pdf = pd.DataFrame(out, columns=["reads", "total", "active_days", "busiest"])
-        pdf.insert(0, "slug", slug)
-        pdf.insert(1, "window_days", window)
-        pdf.insert(2, "day", [EPOCH + dt.timedelta(days=x) for x in range(lo, hi + 1)])
-        pdf["average"] = pdf["total"] / float(window)
-        return pdf
+            yield (slug, window, day, today, *queue.value())
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def groups(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         now, rows = None, []
         for pdf in batches:
             for slug, window, d, n in zip(pdf["slug"], pdf["window_days"], pdf["d"], pdf["n"]):
                 if (slug, window) != now:
                     if now:
-                        yield emit(*now, rows)
+                        yield from days(*now, rows)
                     now, rows = (slug, window), []
                 if d == d and d is not None:
                     rows.append((int(d), int(n)))
         if now:
-            yield emit(*now, rows)
+            yield from days(*now, rows)
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = groups(batches)
+        while part := list(islice(out, ROWS_PER_BATCH)):
+            yield pd.DataFrame(part, columns=names)
 
-    return placed.mapInPandas(scan, schema)
+    out = placed.mapInPandas(scan, "slug string, window_days bigint, d int, reads bigint, total bigint, active_days bigint, busiest bigint")
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.col("d")).alias("day")
+    return out.select("slug", "window_days", day, "reads", "total", "active_days", "busiest", (F.col("total") / F.col("window_days").cast("double")).alias("average"))
