@@ -28,26 +28,31 @@ def logged(events: DataFrame) -> list[str]:
     return [c for c in LOG if c in events.columns]
 
 
+def print_of(events: DataFrame) -> Column:
+    """A 64-bit hash of all columns that decide which rows are equal."""
+    return F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in logged(events)])
+
+
 def keyed(events: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """(slug, event_type, ms, *keep) of every event row; rows that are no events are left out."""
+    """(slug, event_type, ms, pos, *keep) of every event row and slug it names, pos the slug's place among them; rows that are no events are left out."""
     keep = keep or []
     rows = events.where(is_event())
     rows = with_canonical(rows, "__actor", F.col("actor"))
     rows = rows.withColumn("event_type", F.concat("op", F.lit(":"), F.coalesce("__actor", F.lit("lib"))))
     rows = rows.withColumn("ms", F.unix_millis(instant(F.col("ts"))))
-    return event_slugs(rows, ["event_type", "ms", *keep]).select("slug", "event_type", "ms", *keep)
+    return event_slugs(rows, ["event_type", "ms", *keep]).select("slug", "event_type", "ms", "pos", *keep)
 
 
-def repeats(events: DataFrame) -> DataFrame:
+def repeats(events: DataFrame, again: DataFrame | None = None) -> DataFrame:
     """Retractions for rows delivered more than once: every such row once, with `surplus` deliveries to take back.
 
-    Rows are first grouped by a 64-bit hash alone, so that only 16 bytes a row are shuffled; only the rows whose hash
-    occurs again are then compared in full, so a clash of hashes retracts nothing. Few such hashes, counted first, are broadcast.
+    again holds the hashes (__print) that occur more than once, few of them; without it they are counted first. Only rows of these hashes are
+    then compared in full, so a clash of hashes retracts nothing. Few such hashes, counted first, are broadcast.
     """
     cols = logged(events)
-    print_ = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in cols])
-    again = events.groupBy(print_.alias("__print")).agg(F.count("*").alias("c")).where("c > 1").select("__print")
-    again, rows = cut(again, "prints"), events.select(*cols, print_.alias("__print"))
+    if again is None:
+        again = cut(events.groupBy(print_of(events).alias("__print")).agg(F.count("*").alias("c")).where("c > 1").select("__print"), "prints")
+    rows = events.select(*cols, print_of(events).alias("__print"))
     if again.count() <= MAX_BROADCAST_PRINTS:
         twice = rows.join(F.broadcast(again), "__print", "left_semi")
     else:
@@ -91,14 +96,19 @@ def features(events: DataFrame) -> DataFrame:
     """(slug, event_type, n, last_ms) over the distinct events of a usage log.
 
     Every delivery is inserted; the surplus deliveries of a row that came again are then retracted. A log without repeats retracts nothing; an
-    empty log gives no rows. Extra columns of the log are not looked at; LOG columns decide what is equal.
+    empty log gives no rows. Extra columns of the log are not looked at; LOG columns decide what is equal. The log is spelt out and keyed once; insertions,
+    the search for repeats and recomputed maxima all read that table, and only rows that may be repeats are read from the log again.
     """
-    state = apply_deltas(None, deltas(keyed(events), 1), None)
-    surplus = cut(repeats(events), "surplus")
+    named = events.select(*logged(events)).withColumn("__print", print_of(events))
+    rows = cut(keyed(named, ["__print"]), "keyed")
+    state = apply_deltas(None, deltas(rows, 1), None)
+    # an event is in the table once for each slug it names; its first one stands for it
+    again = cut(rows.where("pos = 0").groupBy("__print").agg(F.count("*").alias("c")).where("c > 1").select("__print"), "prints")
+    surplus = cut(repeats(events, again), "surplus")
     back = keyed(surplus, ["surplus"])
 
     def remaining(touched: DataFrame) -> DataFrame:
-        rows = keyed(events)  # a retracted delivery leaves its first one standing
+        # a retracted delivery leaves its first one standing
         if touched.count() <= MAX_BROADCAST_KEYS:
             return rows.join(F.broadcast(touched), KEY, "left_semi")
         both = F.concat_ws("\0", *KEY)

@@ -23,6 +23,6 @@ def is_event() -> Column:
 
 
 def event_slugs(events: DataFrame, keep: list[str]) -> DataFrame:
-    """One row per event row and canonical slug it names: `keep` columns, slug. A slug named twice by one row counts once."""
+    """One row per event row and canonical slug it names: `keep` columns, pos, slug. A slug named twice by one row counts once."""
     wide = with_canonical_array(events, "__slugs", F.col("slugs"))
-    return wide.select(*keep, F.explode("__slugs").alias("slug"))
+    return wide.select(*keep, F.posexplode("__slugs").alias("pos", "slug"))
