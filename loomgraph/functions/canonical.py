@@ -19,6 +19,15 @@ def nfkc(col: Column) -> Column:
     return F.when(col.isNull() | col.rlike(r"^[\x00-\x7F]*$"), col).otherwise(composed)
 
 
+#: Text of these characters alone is its own canonical form but for an outer [[ ]] or a trailing slash: visible ASCII without capitals.
+PLAIN = r"\A[!-@\[-~]+\z"
+
+
+def _folded(col: Column) -> Column:
+    """NFKC, lower case, without outer white space; the usual plain text is left alone after one look."""
+    return F.when(col.rlike(PLAIN), col).otherwise(strip(F.lower(nfkc(col))))
+
+
 def strip(col: Column) -> Column:
     return F.btrim(col, F.lit(SPACE))
 
@@ -42,7 +51,7 @@ def with_canonical(df: DataFrame, name: str, col: Column, source: bool = False)
     """
     tmp = f"__loom_{name}"
     out = _unbracket(F.col(tmp))
-    df = df.withColumn(tmp, strip(F.lower(nfkc(col)))).withColumn(name, out)
+    df = df.withColumn(tmp, _folded(col)).withColumn(name, out)
     if source:
         df = df.withColumn(name, _unslash(F.col(name)))
     return df.drop(tmp)
@@ -51,7 +60,7 @@ def with_canonical(df: DataFrame, name: str, col: Column, source: bool = False)
 def with_canonical_array(df: DataFrame, name: str, col: Column, source: bool = False) -> DataFrame:
     """Adds or replaces array column `name`: the distinct c() of the elements; null and blank elements vanish, a null array is empty."""
     tmp = f"__loom_{name}"
-    df = df.withColumn(tmp, F.transform(col, lambda x: strip(F.lower(nfkc(x)))))
+    df = df.withColumn(tmp, F.transform(col, _folded))
     df = df.withColumn(tmp, F.transform(tmp, _unbracket))
     if source:
         df = df.withColumn(tmp, F.transform(tmp, _unslash))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions.dates import real_date
+from loomgraph.runtime import local
 from loomgraph.schema import CAP, DIVISOR, MONTH, WEEK
 
 
@@ -64,7 +65,7 @@ def purge_summary(pages: DataFrame, cutoff: str, slugs: list[str] | None = None)
     """One row: affected, kept, skipped_no_clock of a purge by date, or affected and not_found of a purge by slugs."""
     clock = F.coalesce(_filled("checked"), _filled("as_of"))
     if slugs is not None:
-        wanted = pages.sparkSession.createDataFrame([(s,) for s in dict.fromkeys(slugs)], "slug string")
+        wanted = local(pages.sparkSession, [(s,) for s in dict.fromkeys(slugs)], "slug string")
         hit = wanted.join(pages.select("slug", F.lit(1).alias("here")), "slug", "left")
         return hit.agg(F.count_if(F.col("here").isNotNull()).alias("affected"), F.count_if(F.col("here").isNull()).alias("not_found"))
     return pages.agg(F.count_if(clock < cutoff).alias("affected"), F.count_if(clock >= cutoff).alias("kept"), F.count_if(clock.isNull()).alias("skipped_no_clock"))

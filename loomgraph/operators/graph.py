@@ -7,19 +7,19 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.canonical import with_canonical
 from loomgraph.operators import pages as P
-from loomgraph.operators.skew import lookup_join, with_group_min
-from loomgraph.runtime import cut, release
+from loomgraph.operators.numbering import Forest, decode, encode
+from loomgraph.operators.skew import heavy_keys, lookup_join, with_group_min
+from loomgraph.runtime import cut, local, release
 from loomgraph.schema import EDGE_LIMIT, EDGE_MAX, MAX_HOPS, READ_LIMIT, READ_MAX, ResultTooLarge
 
 
 def carriers(nodes: DataFrame) -> DataFrame:
-    """(source, target, origin, relation, seen): every link as it is written, wikilinks of a page before its related entries."""
-    base = F.col("ord") * 2
+    """(source, target, origin, relation, seen): every link as it is written. seen, its place, is (page's ord, kind, position): wikilinks of a page before its related entries."""
+    place = lambda kind: F.struct("ord", F.lit(kind).alias("kind"), "pos").alias("seen")
     link = nodes.select(F.col("slug").alias("source"), "ord", F.posexplode("wikilink_targets").alias("pos", "target"))
-    link = link.select("source", "target", F.lit("wikilink").alias("origin"), F.lit(None).cast("string").alias("relation"), (base * 100_000 + F.col("pos")).alias("seen"))
-    rel = P.related(nodes)
-    rel = rel.select(F.col("slug").alias("source"), "target", F.lit("related").alias("origin"), "relation", ((base + 1) * 100_000 + F.col("pos")).alias("seen"))
-    return link.unionByName(rel)
+    link = link.select("source", "target", F.lit("wikilink").alias("origin"), F.lit(None).cast("string").alias("relation"), place(0))
+    rel = P.related(nodes).withColumnRenamed("slug", "source")
+    return link.unionByName(rel.select("source", "target", F.lit("related").alias("origin"), "relation", place(1)))
 
 
 def merge(links: DataFrame) -> DataFrame:
@@ -58,11 +58,15 @@ def from_table(edges: DataFrame) -> DataFrame:
     )
 
 
+def _entry(end: int) -> Column:
+    return F.struct("ord", F.lit(end).alias("end"))
+
+
 def undirected(edges: DataFrame) -> DataFrame:
-    """Both directions of every edge: (a, b, source, target, eord); a loop is one row. eord puts an edge's source entry before its target's."""
+    """Both directions of every edge: (a, b, source, target, eord); a loop is one row. eord, (ord, end), puts an edge's source entry before its target's."""
     ends = F.array(
-        F.struct(F.col("source").alias("a"), F.col("target").alias("b"), (F.col("ord") * 2).alias("eord")),
-        F.struct(F.col("target").alias("a"), F.col("source").alias("b"), (F.col("ord") * 2 + 1).alias("eord")),
+        F.struct(F.col("source").alias("a"), F.col("target").alias("b"), _entry(0).alias("eord")),
+        F.struct(F.col("target").alias("a"), F.col("source").alias("b"), _entry(1).alias("eord")),
     )
     return edges.select("source", "target", F.inline(F.when(F.col("source") == F.col("target"), F.slice(ends, 1, 1)).otherwise(ends)))
 
@@ -70,8 +74,8 @@ def undirected(edges: DataFrame) -> DataFrame:
 def degrees(edges: DataFrame) -> DataFrame:
     """(slug, n_in, n_out, total, seen) of every slug on an edge; a loop counts twice in the total. Combined before the shuffle."""
     ends = F.array(
-        F.struct(F.col("source").alias("slug"), F.lit(0).alias("i"), F.lit(1).alias("o"), (F.col("ord") * 2).alias("seen")),
-        F.struct(F.col("target").alias("slug"), F.lit(1).alias("i"), F.lit(0).alias("o"), (F.col("ord") * 2 + 1).alias("seen")),
+        F.struct(F.col("source").alias("slug"), F.lit(0).alias("i"), F.lit(1).alias("o"), _entry(0).alias("seen")),
+        F.struct(F.col("target").alias("slug"), F.lit(1).alias("i"), F.lit(0).alias("o"), _entry(1).alias("seen")),
     )
     per = edges.select(F.inline(ends)).groupBy("slug").agg(F.sum("i").alias("n_in"), F.sum("o").alias("n_out"), F.min("seen").alias("seen"))
     return per.withColumn("total", F.col("n_in") + F.col("n_out"))
@@ -83,26 +87,44 @@ def degree_table(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("slug", "ord").join(degrees(edges).drop("seen"), "slug", "left").select("slug", "ord", zero("n_in"), zero("n_out"), zero("total"))
 
 
+#: A frontier of more nodes is joined by a salted shuffle instead of a broadcast.
+MAX_BROADCAST_FRONT = 100_000
+
+
+def _meet(both: DataFrame, front: DataFrame, n: int, how: str = "inner") -> DataFrame:
+    """Directed rows (a, ...) that start in the frontier (a), which has n rows."""
+    return both.join(F.broadcast(front), "a", how) if n <= MAX_BROADCAST_FRONT else lookup_join(both, front, "a", how)
+
+
 def neighbourhood(edges: DataFrame, center: str, k: int = 1) -> DataFrame:
     """(slug, depth) within k hops of center in either direction, itself at depth 0; k above MAX_HOPS counts as MAX_HOPS.
 
-    Each hop joins the frontier alone with the edges, and is cut; an unknown center is alone.
+    The edges are written down once, in both directions; each hop joins the frontier alone with them. An unknown center is alone.
     """
     spark = edges.sparkSession
-    both = undirected(edges).select("a", "b")
-    seen = spark.createDataFrame([(center, 0)], "slug string, depth int")
-    front = seen
-    for hop in range(1, min(k, MAX_HOPS) + 1):
-        step = both.join(front.select(F.col("slug").alias("a")), "a", "left_semi").select(F.col("b").alias("slug")).distinct()
-        front = cut(step.join(seen.select("slug"), "slug", "left_anti").withColumn("depth", F.lit(hop)), "hop")
+    seen = front = local(spark, [(center, 0)], "slug string, depth int")
+    hops, n = min(k, MAX_HOPS), 1
+    both = undirected(edges.select("source", "target", "ord")).select("a", "b")
+    if hops > 1:
+        both = cut(both, "both")
+    for hop in range(1, hops + 1):
+        step = _meet(both, front.select(F.col("slug").alias("a")), n, "left_semi").select(F.col("b").alias("slug")).distinct()
+        at = Observation()
+        front = cut(step.join(seen.select("slug"), "slug", "left_anti").withColumn("depth", F.lit(hop)), "hop", at, F.count("*").alias("n"))
+        n = at.get.get("n") or 0
         seen = seen.unionByName(front)
+        if not n:
+            break
+    release(both)
     return seen
 
 
 def induced(edges: DataFrame, kept: DataFrame) -> DataFrame:
     """Edges with both ends among kept (slug)."""
     a, b = kept.select(F.col("slug").alias("source")), kept.select(F.col("slug").alias("target"))
-    return lookup_join(lookup_join(edges, a, "source", "left_semi"), b, "target", "left_semi")
+    edges = cut(edges, "edges") if not hasattr(edges, "loom_path") else edges  # both ends' heavy keys are counted on it
+    heavy = heavy_keys(edges, "target")
+    return lookup_join(lookup_join(edges, a, "source", "left_semi"), b, "target", "left_semi", heavy)
 
 
 def in_out(edges: DataFrame, slug: str) -> DataFrame:
@@ -118,17 +140,23 @@ def tree_edges(edges: DataFrame, slug: str, k: int) -> DataFrame:
     Of several edges to a new node that one counts whose near end was met first; among its edges, the earliest.
     """
     spark = edges.sparkSession
-    both = undirected(edges)
+    both = cut(undirected(edges.select("source", "target", "ord")), "both")
     # a node's place in the walk is the list of edge places that led to it; lists of one hop compare like the walk's order
-    front = spark.createDataFrame([(slug, [])], "a string, rank array<bigint>")
+    place = both.schema["eord"].dataType.simpleString()
+    front, n = local(spark, [(slug, [])], f"a string, rank array<{place}>"), 1
     seen = front.select(F.col("a").alias("b"))
-    out = spark.createDataFrame([], "source string, target string, depth int")
+    out = local(spark, [], "source string, target string, depth int")
     for hop in range(1, min(k, MAX_HOPS) + 1):
-        new = both.join(front, "a").join(seen, "b", "left_anti").select("b", F.concat("rank", F.array("eord")).alias("rank"), "source", "target")
-        found = cut(new.groupBy("b").agg(F.min(F.struct("rank", "source", "target")).alias("m")).select("b", "m.*"), "tree")
+        new = _meet(both, front, n).join(seen, "b", "left_anti").select("b", F.concat("rank", F.array("eord")).alias("rank"), "source", "target")
+        at = Observation()
+        found = cut(new.groupBy("b").agg(F.min(F.struct("rank", "source", "target")).alias("m")).select("b", "m.*"), "tree", at, F.count("*").alias("n"))
+        n = at.get.get("n") or 0
         out = out.unionByName(found.select("source", "target", F.lit(hop).alias("depth")))
         front = found.select(F.col("b").alias("a"), "rank")
         seen = seen.unionByName(found.select("b"))
+        if not n:
+            break
+    release(both)
     return out
 
 
@@ -176,37 +204,41 @@ def get_edges(edges: DataFrame, slug: str, k: int = 1, limit: int | None = None)
 
 
 def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(slug, component): the smallest slug linked to each node, lone nodes with themselves.
+    """(slug, component): the smallest slug linked to each node, lone nodes with themselves; ends of edges that are no nodes join nothing.
 
-    Alternating large-star and small-star steps over (node, parent) rows: in a large star a node's greater neighbours are hung on its least,
-    in a small star its smaller ones; the rows end as stars around the least node of each group.
+    Alternating large-star and small-star steps over numbered (lo, hi) rows: in a large star a node's greater neighbours are hung on its least,
+    in a small star its smaller ones. A node with one link left, to a smaller one, leaves the loop; the rounds end when no link is left.
     """
-    pairs = edges.where(F.col("source") != F.col("target")).select(F.col("source").alias("u"), F.col("target").alias("v"))
-
-    used: list[DataFrame] = []
-
-    def star(rows: DataFrame, large: bool) -> DataFrame:
-        if large:
-            rows = rows.select(F.inline(F.array(F.struct(F.col("u"), F.col("v")), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
-        else:
-            rows = rows.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        hung, least = with_group_min(rows, "u", F.least("u", "v"), "m")
-        used.append(least)
-        if large:
-            return hung.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        return hung.select(F.inline(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v"))))).where("u <> v").distinct()
-
-    h = F.xxhash64("u", "v")
-    figures = (F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.sum(F.pmod(h, F.lit(1 << 31))).alias("s"))
-    now, mark = cut(pairs.distinct(), "star"), None
+    kept = induced(edges.where(F.col("source") != F.col("target")).select("source", "target", "ord"), nodes.select("slug"))
+    ids, names = encode(kept.select(F.col("source").alias("a"), F.col("target").alias("b")))
+    pair = lambda x, y: F.struct(F.col(x).alias("lo"), F.col(y).alias("hi"))
+    forest = Forest()
+    now, left = _links(ids.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")))
     for _ in range(max_rounds):
-        half, seen = cut(star(now, True), "star"), Observation()
-        new = cut(star(half, False), "star", seen, *figures)
-        for old in (now, half, *used):
-            release(old)
-        used.clear()
-        now, before, mark = new, mark, seen.get
-        if mark == before:
-            roots = now.groupBy(F.col("u").alias("slug")).agg(F.min("v").alias("root"))
-            return nodes.select("slug").join(roots, "slug", "left").select("slug", F.coalesce("root", "slug").alias("component"))
+        if not left:
+            found = decode(names, forest.roots())
+            return nodes.select("slug").join(found.withColumnRenamed("vertex", "slug"), "slug", "left").select("slug", F.coalesce("component", "slug").alias("component"))
+        ends = now.select(F.inline(F.array(F.struct(F.col("lo").alias("v"), F.col("hi").alias("u")), F.struct(F.col("hi").alias("v"), F.col("lo").alias("u")))))
+        least = cut(ends.groupBy("v").agg(F.min("u").alias("u"), F.count("*").alias("n")), "least")
+        leaf = (F.col("n") == 1) & (F.col("u") < F.col("v"))
+        forest.hang(least.where(leaf).select("v", F.col("u").alias("m")))
+        leaves = least.where(leaf).select(F.col("v").alias("hi"))
+        stay = lookup_join(now, leaves, "hi", "left_anti")
+        large = lookup_join(stay, least.select(F.col("v").alias("lo"), F.least("u", "v").alias("m")), "lo", "inner")
+        half, n = _links(large.select(F.col("m").alias("lo"), "hi"))
+        release(now)
+        if not n:
+            now, left = half, n
+            continue
+        hung, low = with_group_min(half, "hi", F.col("lo"), "m")
+        now, left = _links(hung.select(F.inline(F.array(pair("m", "lo"), pair("m", "hi")))))
+        release(half)
+        release(low)
     raise RuntimeError(f"groups not stable after {max_rounds} rounds")
+
+
+def _links(rows: DataFrame) -> tuple[DataFrame, int]:
+    """Distinct rows (lo, hi) without loops, written down, and their number."""
+    seen = Observation()
+    out = cut(rows.where("lo < hi").distinct(), "links", seen, F.count("*").alias("n"))
+    return out, seen.get.get("n") or 0

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.operators import pages as P
 from loomgraph.operators.skew import lookup_join
+from loomgraph.runtime import local
 from loomgraph.schema import KNOWN_TYPES
 
 
@@ -112,5 +113,5 @@ def type_balance(nodes: DataFrame) -> DataFrame:
 
 def empty_types(nodes: DataFrame) -> DataFrame:
     """Known types no page has."""
-    known = nodes.sparkSession.createDataFrame([(t,) for t in KNOWN_TYPES], "type string")
+    known = local(nodes.sparkSession, [(t,) for t in KNOWN_TYPES], "type string")
     return known.join(nodes.select("type").distinct(), "type", "left_anti")

@@ -1,11 +1,12 @@
-"""Exact numbers 0, 1, 2 ... in sorted order over any number of rows, without a single task."""
+"""Exact numbers 0, 1, 2 ... in sorted order over any number of rows, without a single task; pairs of names as pairs of numbers."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from loomgraph.runtime import cut
+from loomgraph.operators import skew
+from loomgraph.runtime import cut, local, partitions, release
 
 
 def in_order(df: DataFrame, order: list[str], name: str) -> DataFrame:
@@ -21,5 +22,64 @@ def in_order(df: DataFrame, order: list[str], name: str) -> DataFrame:
     for pid, n in sizes:
         starts.append((pid, at))
         at += n
-    offsets = df.sparkSession.createDataFrame(starts, "__pid bigint, __start bigint")
+    offsets = local(df.sparkSession, starts, "__pid bigint, __start bigint")
     return fixed.join(F.broadcast(offsets), "__pid").select(*df.columns, (F.col("__start") + F.col("__no")).alias(name))
+
+
+def encode(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pairs (a, b) as numbers, names (name, id)) of pairs of names without nulls; numbers follow the order of the names.
+
+    The names' numbers of rows on either side come with them, so no further count finds the heavy ones.
+    """
+    seen, parts = Observation(), partitions(pairs.sparkSession)
+    pairs = cut(pairs.select("a", "b"), "pairs", seen, F.count("*").alias("n"))
+    total = seen.get.get("n") or 0
+    side = lambda c: F.struct(F.col(c).alias("name"), F.lit(int(c == "a")).alias("a"), F.lit(int(c == "b")).alias("b"))
+    names = pairs.select(F.inline(F.array(side("a"), side("b")))).groupBy("name").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    names = in_order(names, ["name"], "id")
+    out = pairs
+    for end in ("a", "b"):
+        heavy = skew.most_rows(names.select(F.col("name").alias("k"), F.col(end).alias("n")), total, parts)
+        out = skew.lookup_join(out, names.select(F.col("name").alias(end), F.col("id").alias(f"{end}_id")), end, "inner", heavy)
+    return out.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")), names.select("name", "id")
+
+
+class Forest:
+    """Vertices that left an iteration, each hung on one that stayed longer; roots() follows them to the end by doubling."""
+
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
+
+    def hang(self, leaves: DataFrame) -> None:
+        """leaves (v, m): v leaves, m stays."""
+        self.tables.append(leaves.select("v", "m"))
+
+    def roots(self) -> DataFrame | None:
+        """(v, m): the root above every vertex that left; None where none did."""
+        if not self.tables:
+            return None
+        now = self.tables[0]
+        for t in self.tables[1:]:
+            now = now.unionByName(t)
+        now = cut(now, "hung")
+        above = lambda t: t.select(F.col("v").alias("m"), F.col("m").alias("above"))
+        reach = 1
+        while reach < len(self.tables):  # a chain has at most one link for each table
+            seen = Observation()
+            step = skew.lookup_join(now, above(now), "m")
+            new = cut(step.select("v", F.coalesce("above", "m").alias("m"), F.col("above").isNotNull().alias("moved")), "hung", seen, F.count_if("moved").alias("n"))
+            moved = seen.get.get("n")
+            release(now)
+            now, reach = new, reach * 2
+            if not moved:
+                break
+        return now.select("v", "m")
+
+
+def decode(names: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """(vertex, component) as names: every name with the name of its root, its own where it never left."""
+    if roots is None:
+        return names.select(F.col("name").alias("vertex"), F.col("name").alias("component"))
+    all_ = names.join(roots.withColumnRenamed("v", "id"), "id", "left").select(F.col("name").alias("vertex"), F.coalesce("m", "id").alias("m"))
+    tops = names.select(F.col("id").alias("m"), F.col("name").alias("component"))
+    return skew.lookup_join(all_, tops, "m", "inner", skew.heavy_keys(roots, "m")).select("vertex", "component")

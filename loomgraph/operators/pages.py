@@ -50,7 +50,7 @@ def related(df: DataFrame) -> DataFrame:
 def values(df: DataFrame, field: str) -> DataFrame:
     """(slug, value, seen): one row per element of an array column; `seen` orders them as the scan met them."""
     rows = df.select("slug", "ord", F.posexplode(field).alias("pos", "value"))
-    return rows.select("slug", "value", (F.col("ord") * 1000 + F.col("pos")).alias("seen"))
+    return rows.select("slug", "value", F.struct("ord", "pos").alias("seen"))
 
 
 def ranked(counted: DataFrame, n: str, limit: int | None = None) -> DataFrame:

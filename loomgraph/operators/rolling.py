@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions.canonical import with_canonical
 from loomgraph.functions.dates import instant, utc_date
 from loomgraph.operators.skew import Heavy, lookup_join
-from loomgraph.runtime import cut
+from loomgraph.runtime import cut, local
 from loomgraph.sources.tables import WRITE_OPS, event_slugs, is_event
 
 
@@ -86,7 +86,7 @@ def rolling_totals(daily: DataFrame, requests: DataFrame, first: dt.date | None,
     schema = "slug string, window_days bigint, day date, reads bigint, total bigint, active_days bigint, busiest bigint, average double"
     spark = requests.sparkSession
     if first is None or last is None:
-        return spark.createDataFrame([], schema)
+        return local(spark, [], schema)
     lo, hi = (first - EPOCH).days, (last - EPOCH).days
     requests = cut(requests, "requests")
     # one row per slug and day: no key is heavy here; a slug may be asked for with many windows, though

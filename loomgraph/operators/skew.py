@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.runtime import cut, partitions, release
+from loomgraph.runtime import cut, local, partitions, release
 
 #: A key with fewer rows than this is never heavy, whatever its share.
 LEAST_HEAVY = 1000
@@ -40,7 +40,7 @@ def heavy_keys(df: DataFrame, key: str, parts: int | None = None) -> Heavy:
     large = counts.observe(seen, F.sum("n").alias("total")).where(F.col("n") > LEAST_HEAVY)
     if parts > TOP_K_PARTS:
         large = cut(large, "heavy")
-        heavy = _heavy(large, seen.get.get("total") or 0, parts)
+        heavy = most_rows(large, seen.get.get("total") or 0, parts)
         release(large)
         return heavy
     # fewer than 2 * parts keys can be heavy, so the first so many are all of them
@@ -50,8 +50,8 @@ def heavy_keys(df: DataFrame, key: str, parts: int | None = None) -> Heavy:
     return Heavy([r.k for r in top], [r.n for r in top], total)
 
 
-def _heavy(counts: DataFrame, total: int, parts: int) -> Heavy:
-    """Heavy of (k, n)."""
+def most_rows(counts: DataFrame, total: int, parts: int) -> Heavy:
+    """Heavy keys of a table of counts (k, n)."""
     top = counts.where(F.col("n") > bound(total, parts)).orderBy(F.desc("n"), "k").collect()
     return Heavy([r[0] for r in top], [r.n for r in top], total)
 
@@ -96,10 +96,10 @@ def slots(spark: SparkSession, heavy: Heavy, key_type) -> DataFrame:
     from pyspark.sql import types as T
 
     parts = shuffle_parts(spark)
-    keys = spark.createDataFrame([(k,) for k in heavy], T.StructType([T.StructField("__key", key_type)]))
+    keys = local(spark, [(k,) for k in heavy], T.StructType([T.StructField("__key", key_type)]))
     seeds = [r[0] for r in keys.select(F.hash("__key")).collect()]
     out = [(k, places(seed, -(-4 * n * parts // heavy.total), parts)) for k, n, seed in zip(heavy, heavy.rows, seeds)]
-    return spark.createDataFrame(out, T.StructType([T.StructField("__key", key_type), T.StructField("__slots", T.ArrayType(T.IntegerType()))]))
+    return local(spark, out, T.StructType([T.StructField("__key", key_type), T.StructField("__slots", T.ArrayType(T.IntegerType()))]))
 
 
 def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "left", heavy: Heavy | None = None) -> DataFrame:
@@ -142,5 +142,5 @@ def with_group_min(rows: DataFrame, key: str, value: Column, name: str) -> tuple
     least = cut(least, "least", seen, F.sum("__n").alias("total"), F.max("__n").alias("most"))
     total, most = (seen.get.get(x) or 0 for x in ("total", "most"))
     parts = partitions(rows.sparkSession)
-    heavy = _heavy(least.select(F.col(key).alias("k"), F.col("__n").alias("n")), total, parts) if most > bound(total, parts) else Heavy(total=total)
+    heavy = most_rows(least.select(F.col(key).alias("k"), F.col("__n").alias("n")), total, parts) if most > bound(total, parts) else Heavy(total=total)
     return lookup_join(rows, least.drop("__n"), key, "inner", heavy), least

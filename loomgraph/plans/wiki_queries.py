@@ -65,7 +65,7 @@ def _deg(s: SparkSession, d: str) -> DataFrame:
 
 def _comp(s: SparkSession, d: str) -> DataFrame:
     n = _nodes(s, d)
-    return graph.components(n, graph.induced(_edges(s, d), n.select("slug")))
+    return graph.components(n, _edges(s, d))
 
 
 def _pressure(s: SparkSession, d: str) -> DataFrame:
@@ -180,7 +180,7 @@ _BASE = _BASE[: _BASE.index("tg AS")] + ",\n".join(
         _long("wl", "wikilink_targets"),
         f"rel AS (SELECT slug, ord, p - 1 AS pos, {canonical_sql('x.slug')} AS target, {canonical_sql('x.relation')} AS relation FROM (SELECT slug, ord, unnest(related) AS x, generate_subscripts(related, 1) AS p FROM nodes))",
         "rels AS (SELECT * FROM rel WHERE target IS NOT NULL)",
-        "links AS (SELECT slug AS source, v AS target, 'wikilink' AS origin, CAST(NULL AS VARCHAR) AS relation, ord * 2 * 100000 + pos AS seen FROM wl UNION ALL SELECT slug, target, 'related', relation, (ord * 2 + 1) * 100000 + pos FROM rels)",
+        "links AS (SELECT slug AS source, v AS target, 'wikilink' AS origin, CAST(NULL AS VARCHAR) AS relation, {'o': ord, 'k': 0, 'p': pos} AS seen FROM wl UNION ALL SELECT slug, target, 'related', relation, {'o': ord, 'k': 1, 'p': pos} FROM rels)",
         """built AS (SELECT source, target, string_agg(origin, ',' ORDER BY seen) AS origins, arg_min(relation, rseen) FILTER (WHERE relation IS NOT NULL) AS relation, count(*) AS k FROM
 (SELECT source, target, origin, min(seen) AS seen, arg_min(relation, seen) FILTER (WHERE relation IS NOT NULL) AS relation, min(seen) FILTER (WHERE relation IS NOT NULL) AS rseen FROM links SEMI JOIN nodes ON target = nodes.slug GROUP BY 1, 2, 3) GROUP BY 1, 2)""",
         f"e0 AS (SELECT {canonical_sql('source')} AS source, {canonical_sql('target')} AS target, {canonical_sql('relation')} AS relation, ord, origins FROM edges)",
@@ -246,7 +246,7 @@ comp AS (SELECT a AS slug, min(b) AS component FROM reach GROUP BY 1), csize AS
 SQL = {
     "stats_types": _BASE + "SELECT type, count(*) AS n FROM nodes GROUP BY 1",
     "stats_totals": _BASE + "SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM et) AS edges",
-    "stats_top_tags": _BASE + "SELECT v AS tag, count(*) AS n FROM tags_ GROUP BY 1 ORDER BY n DESC, min(ord * 1000 + pos) LIMIT 20",
+    "stats_top_tags": _BASE + "SELECT v AS tag, count(*) AS n FROM tags_ GROUP BY 1 ORDER BY n DESC, min({'o': ord, 'p': pos}) LIMIT 20",
     "stats_neighborhoods": _BASE + "SELECT slug, total FROM dg ORDER BY total DESC, seen LIMIT 10",
     "edges_built": _BASE + "SELECT source, target, origins, relation FROM built",
     "edges_dangling": _BASE + "SELECT source, target, origin FROM links ANTI JOIN nodes ON target = nodes.slug",
@@ -270,7 +270,7 @@ SQL = {
     "read_combo": _BASE + "SELECT slug FROM nodes SEMI JOIN (SELECT slug FROM hop WHERE depth <= 2) h USING (slug) SEMI JOIN (SELECT slug FROM tags_ WHERE v = 'cloud') t USING (slug) WHERE type = 'entity' AND (contains(lower(title), 'a') OR contains(lower(slug), 'a'))",
     "get_node": _BASE + f"SELECT slug, title, type, created, updated, path FROM nodes WHERE slug = '{CENTER}'",
     "source_index": _BASE + "SELECT v AS source, count(*) AS n FROM srcs GROUP BY 1",
-    "source_top": _BASE + "SELECT v AS source, count(*) AS n FROM srcs GROUP BY 1 ORDER BY n DESC, min(ord * 1000 + pos) LIMIT 10",
+    "source_top": _BASE + "SELECT v AS source, count(*) AS n FROM srcs GROUP BY 1 ORDER BY n DESC, min({'o': ord, 'p': pos}) LIMIT 10",
     "source_dup_clusters": _BASE + "SELECT s AS sources, count(*) AS n, min(slug) AS first_slug, max(slug) AS last_slug FROM (SELECT slug, string_agg(v, '|' ORDER BY v) AS s FROM srcs GROUP BY 1) GROUP BY 1 HAVING count(*) >= 2",
     "source_over_extracted": _BASE + "SELECT v AS source, count(*) AS n FROM srcs GROUP BY 1 HAVING count(*) >= 3",
     "source_coverage": _BASE + "SELECT (SELECT count(DISTINCT slug) FROM srcs) AS with_sources, (SELECT count(*) FROM nodes) - (SELECT count(DISTINCT slug) FROM srcs) AS without_sources, (SELECT count(DISTINCT v) FROM srcs) AS unique_sources",

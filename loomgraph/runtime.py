@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Session settings for own sessions; a given session is never changed.
 SETTINGS = {
@@ -75,5 +78,12 @@ def release(df: DataFrame) -> None:
         fs.delete(jpath, True)
 
 
+def local(spark: SparkSession, rows: list[tuple], schema: str | T.StructType) -> DataFrame:
+    """A few rows of the driver as a table that is planned and read without a Python worker."""
+    kind = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    arrow = to_arrow_schema(kind)
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(arrow)], schema=arrow), kind)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
