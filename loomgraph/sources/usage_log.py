@@ -12,20 +12,19 @@ from pyspark.sql import functions as F
 
 from loomgraph.schema import MAX_APPEND_BYTES, MAX_ERROR_CHARS, RETENTION_DAYS
 
-FLUSH_BYTES = 3072
+#: Events waiting are appended when they are so large, or the last append is so long ago.
+FLUSH_BYTES, FLUSH_SECONDS = 3072, 5.0
 
 
-def slices(lines: list[str], limit: int = MAX_APPEND_BYTES) -> list[str]:
-    """Lines joined into pieces of at most `limit` bytes each (a longer line is a piece of its own)."""
-    out, now, size = [], [], 0
-    for line in lines:
-        n = len(line.encode()) + 1
-        if now and size + n > limit:
-            out.append("".join(now))
-            now, size = [], 0
-        now.append(line + "\n")
-        size += n
-    return out + ["".join(now)] if now else out
+def slices(lines: list[str], limit: int = MAX_APPEND_BYTES) -> list[bytes]:
+    """The lines as UTF-8 text cut at line ends into pieces of at most `limit` bytes each; a longer line is a piece of its own."""
+    text, at, out = "".join(f"{line}\n" for line in lines).encode(), 0, []
+    while at < len(text):
+        # the last line end within the limit, else the first one beyond it
+        end = text.rfind(b"\n", at, at + limit) + 1 or text.find(b"\n", at) + 1
+        out.append(text[at:end])
+        at = end
+    return out
 
 
 class UsageLogger:
@@ -34,7 +33,7 @@ class UsageLogger:
     def __init__(self, folder: str, actor: str = "lib", now=lambda: dt.datetime.now(dt.timezone.utc)):
         self.folder, self.actor, self.now = folder, actor, now
         self.buffer: list[str] = []
-        self.errors = 0
+        self.errors, self.flushed = 0, now()
         self.lock = threading.Lock()
 
     def record(self, op: str, slug=None, ok: bool = True, dry: bool = False, err: str | None = None) -> None:
@@ -42,22 +41,25 @@ class UsageLogger:
         event = {"ts": ts, "op": op, "slug": slug, "actor": self.actor} | ({"dry": True} if dry else {}) | {"ok": ok} | ({"err": err[:MAX_ERROR_CHARS]} if err else {})
         with self.lock:
             self.buffer.append(json.dumps(event, ensure_ascii=False))
-            full = sum(map(len, self.buffer)) >= FLUSH_BYTES
-        if full:
+            due = sum(map(len, self.buffer)) >= FLUSH_BYTES or (self.now() - self.flushed).total_seconds() >= FLUSH_SECONDS
+        if due:
             self.flush()
 
     def flush(self) -> None:
+        """Append what is there; lines of a failed append wait for the next one."""
         with self.lock:
-            lines, self.buffer = self.buffer, []
-        try:
-            if lines:
-                os.makedirs(self.folder, exist_ok=True)
-                path = os.path.join(self.folder, f"{self.now():%Y-%m-%d}.jsonl")
-                for piece in slices(lines):
-                    with open(path, "ab", buffering=0) as f:
-                        f.write(piece.encode())
-        except OSError:
-            self.errors += 1
+            waiting = slices(self.buffer)
+            try:
+                if waiting:
+                    os.makedirs(self.folder, exist_ok=True)
+                    with open(os.path.join(self.folder, f"{self.now():%Y-%m-%d}.jsonl"), "ab", buffering=0) as f:
+                        while waiting:
+                            f.write(waiting[0])
+                            waiting.pop(0)
+            except OSError:
+                self.errors += 1
+            self.buffer = [line for piece in waiting for line in piece.decode().splitlines()]
+            self.flushed = self.now()
 
     def prune(self, days: int = RETENTION_DAYS) -> list[str]:
         oldest = f"{self.now() - dt.timedelta(days=days):%Y-%m-%d}.jsonl"

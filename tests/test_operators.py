@@ -1,6 +1,8 @@
 """Known values for graph, metrics, scheduling, usage, scoring, text, edit and chat operators."""
 
+import bisect
 import datetime as dt
+import itertools
 import random
 
 import pytest
@@ -171,16 +173,43 @@ def test_scores(spark):
     assert scoring.theme_terms("深海章鱼 Oil-on") == ["oil", "深海", "海章", "章鱼"] and scoring.theme_terms("!!! ???") == []
 
 
+def brute_trails(pool, near, seed, tuning=Tuning()):
+    """Trails over lists in memory, with running sums of weights."""
+    draw, taken, out = walk.rng(seed), [], []
+
+    def weighted(without):
+        left = [(s, max(tuning.floor_weight, w)) for s, w in pool if s not in without]
+        sums = list(itertools.accumulate(w for _, w in left))
+        return left[min(bisect.bisect_left(sums, draw() * sums[-1]), len(left) - 1)][0]
+
+    while len(taken) < min(tuning.seed_count, len(pool)):
+        taken.append(weighted(taken))
+        trail = [(taken[-1], "")]
+        for _ in range(tuning.hops[0] + int(draw() * (tuning.hops[1] - tuning.hops[0] + 1))):
+            on = [s for s, _ in trail]
+            if len(on) == len(pool):
+                break
+            if draw() < tuning.p_edge:
+                free = [s for s in near.get(on[-1], []) if s not in on]
+                trail.append((free[int(draw() * len(free))], "edge") if free else (weighted(on), "dead-end"))
+            else:
+                trail.append((weighted(on), "teleport"))
+        out.append(trail)
+    return out
+
+
 def test_walk_is_seeded(spark):
     draw = walk.rng("20260807")
     assert [round(draw(), 12) for _ in range(4)] == [0.17438494321, 0.817511929432, 0.190543711418, 0.991866750177]
     pool = [(c, 1 - i / 10) for i, c in enumerate("abcdefgh")]
     near = {"a": ["b"], "b": ["a", "c"], "c": ["b"], "d": ["e"], "e": ["d"]}
-    got = walk.scenes(pool, near, "20260807")
-    assert len(got) == 7 and got[0]["nodes"] == list("abdec") and [h["via"] for h in got[0]["hops"]] == ["edge", "teleport", "edge", "dead-end"]
     ranking = spark.createDataFrame(pool, "slug string, score double")
-    rows = walk.walk(ranking, edges(spark, ("a", "b"), ("b", "c"), ("d", "e")), "20260807").where("scene = 0").orderBy("step").collect()
-    assert [r.node for r in rows] == list("abdec")
+    rows = walk.walk(ranking, edges(spark, ("a", "b"), ("b", "c"), ("d", "e")), "20260807").orderBy("scene", "step").collect()
+    got = [[(r.node, r.via) for r in rows if r.scene == i] for i in range(7)]
+    assert got[0] == [("a", ""), ("b", "edge"), ("d", "teleport"), ("e", "edge"), ("c", "dead-end")]
+    assert got == brute_trails(pool, near, "20260807") and max(r.scene for r in rows) == 6
+    two = walk.walk(ranking.where("slug < 'c'"), edges(spark, ("a", "b")), "x").collect()
+    assert {r.scene for r in two} == {0, 1} and len(two) == 4 and walk.walk(ranking.where("false"), edges(spark, ("a", "b")), "x").count() == 0
     assert Tuning().seed_count == 7 and Tuning(certainty=1.0).seed_count == 5 and Tuning().merged(forget={"stale": 1.0}).forget["unread"] == 0.35
 
 
@@ -191,7 +220,7 @@ def test_walk_draws_from_every_page(spark):
     slug = lambda i: F.format_string("p%05d", i)
     ranking = spark.range(n, numPartitions=8).select(slug("id").alias("slug"), (F.col("id") % 7 / 50).alias("score"))
     ring = spark.range(n - 1).select(slug("id").alias("source"), slug(F.col("id") + 1).alias("target"), F.col("id").alias("ord"))
-    want = [(i, j, p) for i, s in enumerate(walk.scenes(pool, near, seed)) for j, p in enumerate(s["nodes"])]
+    want = [(i, j, p) for i, trail in enumerate(brute_trails(pool, near, seed)) for j, (p, _) in enumerate(trail)]
     assert [(r.scene, r.step, r.node) for r in walk.walk(ranking, ring, seed).orderBy("scene", "step").collect()] == want
     low = {s for s, _ in pool[50_000:]}
     assert any(p in low for *_, p in want)
