@@ -29,7 +29,7 @@ def p3_frequencies(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Every slug of the edges with the smallest slug it is linked to."""
-    groups = components.hash_to_min(components.links(table(spark, d, "edges")))
+    groups = components.hash_to_min(components.ends(table(spark, d, "edges")))  # repeated links fall together once they are numbers
     return groups.select(F.col("vertex").alias("slug"), F.col("component").alias("group_slug"))
 
 
