@@ -1,7 +1,9 @@
-"""Evaluation passages inside training text (problem 8): one Aho-Corasick automaton over the items' word runs, every text scanned once.
+"""Evaluation passages inside training text (problem 8): one Aho-Corasick automaton over the items' words, every text scanned once.
 
-The items are a held-out set, a few megabytes at most. Beyond MAX_PATTERN_CHARS characters of patterns they are taken in blocks, each with
-its own automaton and its own scan of the texts, so no task ever holds more than one block.
+The automaton's letters are word numbers. Its patterns are not all runs of 12 words, which would hold each word twelve times, but blocks of half a run, placed
+so that every run holds exactly one: an item's words stand in it less than once. A block found in a text is extended to both sides as far as text and item agree; a
+stretch of 12 words or more is a leak. So one automaton over all items takes a few times the items' own size, and there is one pass whatever that size.
+The items are a held-out set: they come to the driver and are broadcast.
 """
 
 from __future__ import annotations
@@ -13,9 +15,9 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 RUN = 12
-MAX_PATTERN_CHARS = 4_000_000
 #: One word each: kana and Han characters of these ranges; else runs of letters and digits.
 _SINGLE = r"぀-ヿ㐀-䶿一-鿿"
 WORD = re.compile(rf"[{_SINGLE}]|(?:(?![{_SINGLE}])[^\W_])+")
@@ -26,60 +28,71 @@ def words(text: str | None) -> list[str]:
     return WORD.findall(unicodedata.normalize("NFKC", text).lower()) if text else []
 
 
-def runs(item: list[str], run: int = RUN) -> list[list[str]]:
-    """Every `run` words in a row; all words where there are fewer; nothing for no word."""
-    return [item[i : i + run] for i in range(max(1, len(item) - run + 1))] if item else []
+def blocks(length: int, run: int = RUN) -> tuple[int, list[int]]:
+    """(words of a block, places of the blocks) in an item of `length` words: every run of `run` words holds exactly one block.
 
-
-def patterns(items: list[tuple[int, str | None]], run: int = RUN) -> dict[str, list[int]]:
-    """Pattern, blanks between and around its words -> the items that hold it."""
-    out: dict[str, list[int]] = {}
-    for item_id, text in items:
-        for r in runs(words(text), run):
-            ids = out.setdefault(f" {' '.join(r)} ", [])
-            if item_id not in ids:
-                ids.append(item_id)
-    return out
-
-
-def blocks(items: DataFrame, item_col: str, run: int, limit: int) -> Iterator[dict[str, list[int]]]:
-    """Patterns of the items in id order, `limit` characters a block at most (or one item, if it alone has more)."""
-    batch, size = [], 0
-    for r in items.select(item_col, "text").orderBy(item_col, "text").toLocalIterator():
-        if r[0] is None:
-            continue
-        chars = sum(len(w) + 1 for w in words(r[1])) * run
-        if batch and size + chars > limit:
-            yield patterns(batch, run)
-            batch, size = [], 0
-        batch.append((r[0], r[1]))
-        size += chars
-    if batch:
-        yield patterns(batch, run)
-
-
-#: The automaton of the block a worker scans for just now, by name: built once per worker, not per task.
+    An item of fewer words is one block.
+    """
+    if length <= run:
+        return length, [0] * (length > 0)
+    size = max(1, run // 2)
+    return size, list(range(0, length - size + 1, run - size + 1))
+
+
+class Machine:
+    """The items' words as numbers, and the automaton over their blocks."""
+
+    def __init__(self, items: list[tuple[int, str | None]], run: int = RUN):
+        import ahocorasick
+
+        self.run, self.number, self.items = run, {}, []
+        places: dict[tuple, list[tuple[int, int]]] = {}
+        for item, text in dict.fromkeys(items):
+            own = tuple(self.number.setdefault(w, len(self.number) + 1) for w in words(text))
+            size, starts = blocks(len(own), run)
+            for at in starts:
+                places.setdefault(own[at : at + size], []).append((len(self.items), at))
+            if own:
+                self.items.append((item, own))
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE) if places else None
+        for block, where in places.items():
+            self.automaton.add_word(block, (len(block), where))
+        if places:
+            self.automaton.make_automaton()
+
+    def scan(self, own: list[str]) -> dict[int, list[tuple[int, int]]]:
+        """Item -> (first, last) words of the stretches of a text's words that it shares, a whole run or the whole item long."""
+        hits: dict[int, list[tuple[int, int]]] = {}
+        if not self.automaton or not own:
+            return hits
+        get = self.number.get
+        text = tuple([get(w, 0) for w in own])
+        n = len(text)
+        for end, (size, where) in self.automaton.iter(text):
+            for k, at in where:
+                item, theirs = self.items[k]
+                lo, hi, i, j = end - size + 1, end + 1, at, at + size
+                while i and lo and theirs[i - 1] == text[lo - 1]:
+                    i, lo = i - 1, lo - 1
+                while j < len(theirs) and hi < n and theirs[j] == text[hi]:
+                    j, hi = j + 1, hi + 1
+                if hi - lo >= min(self.run, len(theirs)):
+                    hits.setdefault(item, []).append((lo, hi - 1))
+        return hits
+
+
+#: The machine a worker scans with just now, by name: built once per worker, not per task.
 _BUILT: dict = {}
 
 
-def _machine(shared):
-    name, found = shared.value
+def _machine(shared) -> Machine:
+    name, items, run = shared.value
     if name not in _BUILT:
         _BUILT.clear()
-        _BUILT[name] = automaton(found)
+        _BUILT[name] = Machine(items, run)
     return _BUILT[name]
 
 
-def automaton(found: dict[str, list[int]]):
-    import ahocorasick
-
-    a = ahocorasick.Automaton()
-    for p, ids in found.items():
-        a.add_word(p, (len(p), ids))
-    a.make_automaton()
-    return a
-
-
 def origin(text: str) -> list[int]:
     """For each character of NFKC(text).lower(), the offset in text it comes from.
 
@@ -97,31 +110,13 @@ def origin(text: str) -> list[int]:
     return [min(i, len(text) - 1) for i in range(len(whole))]
 
 
-def scan(text: str | None, machine) -> dict[int, list[tuple[int, int]]]:
-    """Item -> word spans (first, last) of its runs in the text."""
-    if not text:
-        return {}
-    own = words(text)
-    line = f" {' '.join(own)} "
-    hits: dict[int, list[tuple[int, int]]] = {}
-    for end, (length, ids) in machine.iter(line):
-        for i in ids:
-            hits.setdefault(i, []).append((end - length + 1, end))
-    return hits
-
-
 def passages(text: str, hits: dict[int, list[tuple[int, int]]]) -> Iterator[tuple[int, int, int, int]]:
     """(item_id, start, end, n_words) of the longest covered stretches, as offsets in the original text."""
     norm = unicodedata.normalize("NFKC", text).lower()
-    spans, at, begin = [m.span() for m in WORD.finditer(norm)], 1, {}
-    for k, (s, e) in enumerate(spans):
-        begin[at] = k
-        at += e - s + 1
-    back = origin(text)
+    spans, back = [m.span() for m in WORD.finditer(norm)], origin(text)
     for item, found in hits.items():
         merged: list[list[int]] = []
-        for s, e in sorted(found):
-            first, last = begin[s + 1], begin.get(e + 1, len(spans)) - 1
+        for first, last in sorted(found):
             if merged and first <= merged[-1][1] + 1:
                 merged[-1][1] = max(merged[-1][1], last)
             else:
@@ -132,29 +127,24 @@ def passages(text: str, hits: dict[int, list[tuple[int, int]]]) -> Iterator[tupl
             yield item, back[spans[first][0]], stop, last - first + 1
 
 
-def leaks(documents: DataFrame, items: DataFrame, run: int = RUN, offsets: bool = False, id_col: str = "doc_id", item_col: str = "item_id", limit: int = MAX_PATTERN_CHARS) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, run: int = RUN, offsets: bool = False, id_col: str = "doc_id", item_col: str = "item_id") -> DataFrame:
     """(doc_id, item_id), or with offsets also start_char, end_char, n_words per passage; every text whole, each pair or passage once.
 
-    Null and empty texts leak nothing; items without a word are never found; a null item id is no item. Extra columns are not looked at.
+    Null and empty texts leak nothing; items without a word are never found; a null item id is no item; the texts of a repeated item id are all
+    that item's. Extra columns are not looked at.
     """
     spark = documents.sparkSession
     names = [id_col, item_col] + (["start_char", "end_char", "n_words"] if offsets else [])
-    schema = ", ".join(f"`{n}` bigint" for n in names)
-    out = None
-    for block in blocks(items, item_col, run, limit):
-        if not block:
-            continue
-        shared = spark.sparkContext.broadcast((uuid.uuid4().hex, block))
-
-        def find(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            machine = _machine(shared)
-            for pdf in batches:
-                rows = []
-                for doc, text in zip(pdf[id_col], pdf["text"]):
-                    if hits := scan(text, machine):
-                        rows += [(doc, *p) for p in passages(text, hits)] if offsets else [(doc, i) for i in hits]
-                yield pd.DataFrame(rows, columns=names)
-
-        one = documents.select(id_col, "text").mapInPandas(find, schema)
-        out = one if out is None else out.unionByName(one)
-    return spark.createDataFrame([], schema) if out is None else out
+    known = [(r[0], r[1]) for r in items.select(item_col, "text").where(F.col(item_col).isNotNull() & F.col("text").isNotNull()).distinct().toLocalIterator()]
+    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, sorted(known), run))
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        machine = _machine(shared)
+        for pdf in batches:
+            rows = []
+            for doc, text in zip(pdf[id_col], pdf["text"]):
+                if hits := machine.scan(words(text)):
+                    rows += [(doc, *p) for p in passages(text, hits)] if offsets else [(doc, i) for i in hits]
+            yield pd.DataFrame(rows, columns=names)
+
+    return documents.select(id_col, "text").mapInPandas(find, ", ".join(f"`{n}` bigint" for n in names))

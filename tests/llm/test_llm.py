@@ -114,8 +114,9 @@ def test_similar_pairs_of_nothing(spark):
 def brute_leaks(docs, items, run=leakage.RUN):
     wanted = {}
     for item, text in items:
-        for r in leakage.runs(leakage.words(text), run):
-            wanted.setdefault(tuple(r), set()).add(item)
+        w = leakage.words(text)
+        for i in range(max(1, len(w) - run + 1) if w else 0):
+            wanted.setdefault(tuple(w[i : i + run]), set()).add(item)
     out = set()
     for doc, body in docs:
         w = leakage.words(body)
@@ -133,15 +134,36 @@ def test_leaks_equal_brute_force(spark):
     d, i = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
     got = [tuple(r) for r in leakage.leaks(d, i).collect()]
     assert len(got) == len(set(got)) and set(got) == brute_leaks(docs, items) and (10**6 + 2, items[0][0]) in got
-    assert {tuple(r) for r in leakage.leaks(d, i, limit=3000).collect()} == set(got)
     assert leakage.leaks(d, i.where("false")).count() == 0 == leakage.leaks(d.where("false"), i).count()
 
 
+def test_every_run_holds_one_block():
+    for run in (1, 2, 5, 12, 13):
+        for length in range(60):
+            size, starts = leakage.blocks(length, run)
+            for i in range(max(0, length - run + 1) if length > run else 0):
+                assert sum(i <= s and s + size <= i + run for s in starts) == 1
+            assert length > run or (size, starts) == (length, [0] * (length > 0))
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_machine_equals_brute_force(seed):
+    """Few words, so that items overlap one another and themselves; a repeated id; one pattern over all items."""
+    rng = random.Random(seed)
+    line = lambda n: " ".join(rng.choices("ab", k=n))
+    items = [(i % 30, line(rng.choice([1, 3, 11, 12, 13, 40]))) for i in range(40)]
+    docs = [(i, line(rng.randint(0, 80))) for i in range(60)] + [(99, "zz " + items[0][1] + " zz " + items[1][1])]
+    for run in (12, 7, 4):
+        machine = leakage.Machine(items, run)
+        got = {(d, i): spans for d, text in docs for i, spans in machine.scan(leakage.words(text)).items()}
+        assert set(got) == brute_leaks(docs, items, run)
+
+
 def test_passage_offsets_map_back(spark):
     body = "Ｘ ﬁ " + "Ｏｎｅ **two**, [[three]] ４ five six seven eight nine ten eleven twelve" + " the end é"
     item = "one two three 4 five six seven eight nine ten eleven twelve"
-    machine = leakage.automaton(leakage.patterns([(7, item)]))
-    ((i, s, e, n),) = leakage.passages(body, leakage.scan(body, machine))
+    machine = leakage.Machine([(7, item)])
+    ((i, s, e, n),) = leakage.passages(body, machine.scan(leakage.words(body)))
     assert (i, n) == (7, 12) and body[s:e].startswith("Ｏｎｅ") and body[s:e].endswith("twelve")
     assert leakage.words("a_b ②の漢") == ["a", "b", "2", "の", "漢"]
     for text in ("ﬁx 한국 é́ ｶﾞ", "plain", "ΑΣ ΟΔΟΣ"):
