@@ -3,8 +3,8 @@
 Every text of a source should be taken r times, r being the source's wanted tokens over its own. floor(r) copies are certain;
 the fraction is rounded so that the source's tokens come out within one text of the target: two texts with fractional
 probabilities trade mass, weighed by their tokens, until one of them is whole, at random and without bias. Texts are rounded inside
-(source, bucket) groups in parallel; each group leaves one fractional text at most, and these are paired again in a tree. The few
-giants of a source, texts that alone would shift its share, are rounded first, and the other texts' probabilities take up what that left.
+(source, bucket) groups in parallel, large ones first; each group leaves one fractional text at most, and these are paired again in a tree. A source's
+texts pass through that in two tiers: those that alone would shift its share first, then all others, whose probabilities take up what the first tier left.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from loomgraph.runtime import cut
 
 FAN_IN = 64
 ROWS_PER_BUCKET = 20_000
-#: A giant has more tokens than GIANT_MEANS average texts and than 1 / GIANT_PARTS of its source: fewer than GIANT_PARTS a source.
-GIANT_MEANS, GIANT_PARTS = 8, 1000
+#: The first tier are texts of more tokens than LARGE_MEANS average ones and than 1 / LARGE_PARTS of their source.
+LARGE_MEANS, LARGE_PARTS = 8, 1000
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Splits text before the merges (fixed value of the vocabulary).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -133,16 +133,16 @@ def _end(held: tuple, rng: random.Random, last: bool) -> tuple:
 def pivotal_round(rows: DataFrame, seed: int = 0) -> DataFrame:
     """(source, doc_id, tokens, p) with every p made 0 or 1, its expectation kept and sum(tokens * p) of each source kept within one text.
 
-    Groups are keyed by hashes and sorted, and their random numbers follow from the seed, so a task run again gives the same result.
+    In a group large texts come first, so that what is left over is a small one. Groups are keyed by hashes and sorted, and their random numbers follow from the seed, so a task run again gives the same result.
     Texts without tokens must not be among the rows.
     """
     kind = "source string, bucket bigint, doc_id bigint, tokens bigint, p double"
     buckets = max(1, rows.count() // ROWS_PER_BUCKET)
-    now = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets))).select("source", "bucket", "doc_id", "tokens", "p")
+    now = rows.select("source", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).alias("bucket"), "doc_id", "tokens", "p")
     done = None
     while True:
         end = buckets == 1
-        placed = now.repartition("source", "bucket").sortWithinPartitions("source", "bucket", "doc_id")
+        placed = now.repartition("source", "bucket").sortWithinPartitions("source", "bucket", F.desc("tokens"), "doc_id")
         level = cut(placed.mapInPandas(lambda it, s=seed + buckets, e=end: _round(it, s, e), kind), "rounded")
         whole = level.where("p <= 0 OR p >= 1")
         done = whole if done is None else done.unionByName(whole)
@@ -160,8 +160,8 @@ def _targets(targets: DataFrame) -> DataFrame:
 def mix(counted: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 0) -> DataFrame:
     """(doc_id, source, tokens, copies) of every text that is taken at least once; no text more often than its source's cap.
 
-    counted is token_counts(). Sources that no target names, null sources and texts without tokens are left out. The table of
-    targets is a configuration of some sources; it and one total per wanted source come to the driver.
+    counted is token_counts(), or any sizes of the same columns. Sources that no target names, null sources and texts without tokens are left out. The table of
+    targets is a configuration of some sources; it and some totals per wanted source come to the driver. Rows of one doc_id are texts of their own.
     """
     counted = cut(counted, "tokens") if not hasattr(counted, "loom_path") else counted
     wanted = {r.source: (r.target_share, r.max_repeats) for r in _targets(targets).collect()}
@@ -170,47 +170,31 @@ def mix(counted: DataFrame, targets: DataFrame, total: int | None = None, seed:
     _, copies = plan({s: n for s, (n, _) in stats.items()}, wanted, total)
     if not copies:
         return named.where("false").select("doc_id", "source", "tokens", F.lit(0).cast("bigint").alias("copies"))
-    limit = {s: max(GIANT_MEANS * n / k, n / GIANT_PARTS) for s, (n, k) in stats.items() if s in copies}
-    is_giant = F.col("tokens") > _by_source(limit)
-    giants = named.where(is_giant).select("doc_id", "source", "tokens").collect()
-    settled, rest = [], {}
-    for s, r in sorted(copies.items()):
-        own = sorted((g.doc_id, g.tokens) for g in giants if g.source == s)
-        taken = _round_few(own, r, random.Random(f"{seed}|giants|{s}"))
-        settled += [(doc, s, tokens, k) for (doc, tokens), k in zip(own, taken)]
-        others = stats[s][0] - sum(t for _, t in own)
-        left = r * stats[s][0] - sum(t * k for (_, t), k in zip(own, taken))
-        rest[s] = min(float(wanted[s][1]), max(0.0, left / others)) if others else 0.0
-    rows = named.where(~is_giant).withColumn("r", _by_source(rest)).where(F.col("r") > 0)
-    rows = rows.withColumn("sure", F.floor(F.col("r") + 1e-9)).withColumn("p", F.greatest(F.lit(0.0), F.col("r") - F.col("sure")))
-    rounded = pivotal_round(rows.where("p > 1e-9").select("source", "doc_id", "tokens", "p"), seed)
-    sure = _by_source({s: int(r + 1e-9) for s, r in rest.items()})
-    part = rounded.select("doc_id", "source", "tokens", (sure + F.col("p")).cast("bigint").alias("copies"))
-    full = rows.where("p <= 1e-9").select("doc_id", "source", "tokens", F.col("sure").cast("bigint").alias("copies"))
-    few = counted.sparkSession.createDataFrame(settled, "doc_id bigint, source string, tokens bigint, copies bigint")
-    return part.unionByName(full).unionByName(few).where("copies > 0")
+    large = F.col("tokens") > _by_source({s: max(LARGE_MEANS * n / k, n / LARGE_PARTS) for s, (n, k) in stats.items() if s in copies})
+    # the first tier at the wanted rate; then the others at the rate that makes up for it, no text beyond its cap
+    first = cut(_tier(named.where(large), copies, seed), "tier")
+    there = {r.source: r.n for r in named.where(large).groupBy("source").agg(F.sum("tokens").alias("n")).collect()}
+    taken = {r.source: r.n for r in first.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("n")).collect()}
+    rest = {}
+    for s, r in copies.items():
+        others = stats[s][0] - there.get(s, 0)
+        rest[s] = min(float(wanted[s][1]), max(0.0, (r * stats[s][0] - taken.get(s, 0)) / others)) if others else 0.0
+    return first.unionByName(_tier(named.where(~large), rest, seed + 1)).where("copies > 0")
+
+
+def _tier(rows: DataFrame, rates: dict[str, float], seed: int) -> DataFrame:
+    """(doc_id, source, tokens, copies) of texts each wanted rates[source] times: the whole part for certain, the fraction by pivotal rounding."""
+    sure = {s: int(r + 1e-9) for s, r in rates.items()}
+    rows = rows.select("doc_id", "source", "tokens", _by_source(sure).cast("bigint").alias("sure"), _by_source({s: max(0.0, r - sure[s]) for s, r in rates.items()}).alias("p"))
+    chance = pivotal_round(rows.where("p > 1e-9").select("source", "doc_id", "tokens", "p"), seed)
+    part = chance.select("doc_id", "source", "tokens", (_by_source(sure) + F.col("p")).cast("bigint").alias("copies"))
+    return part.unionByName(rows.where("p <= 1e-9").select("doc_id", "source", "tokens", F.col("sure").alias("copies")))
 
 
 def _by_source(values: dict):
     return F.create_map(*[F.lit(x) for pair in sorted(values.items()) for x in pair])[F.col("source")]
 
 
-def _round_few(items: list[tuple[int, int]], r: float, rng: random.Random) -> list[int]:
-    """Copies of a handful of (doc_id, tokens) wanted r times each: pivotal rounding one after the other, the last by chance alone."""
-    sure = int(r + 1e-9)
-    p, held = [_whole(max(0.0, r - sure))] * len(items), None
-    for i in range(len(items)):
-        if not 0 < p[i] < 1:
-            continue
-        if held is not None:
-            p[held], p[i] = trade(p[held], items[held][1], p[i], items[i][1], rng.random())
-        if held is None or not 0 < p[held] < 1:
-            held = i if 0 < p[i] < 1 else None
-    if held is not None:
-        p[held] = float(rng.random() < p[held])
-    return [sure + int(x) for x in p]
-
-
 def shares(mixed: DataFrame, counted: DataFrame, targets: DataFrame) -> DataFrame:
     """One row per wanted source, absent ones too: target_share, max_repeats, tokens there, tokens in the mix, actual share, most copies of a text."""
     there = counted.groupBy("source").agg(F.sum("tokens").alias("tokens_available"))
