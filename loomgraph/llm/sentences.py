@@ -15,8 +15,6 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
-WINDOW = 48  # characters of context a rule sees on either side
-
 ENDS = ".!?。！？｡…‥।॥؟۔"
 #: Opening marks and what may close them. Those of QUOTES may hold whole sentences.
 PAIRS = {"“": "”", "„": "“”", "«": "»", "「": "」", "『": "』", "（": "）", "(": ")", "《": "》", "〈": "〉", "[": "]", "【": "】", "‹": "›"}
@@ -52,6 +50,8 @@ def _never(words: str, after: str = "") -> Rule:
 
 SPEECH_ZH = "写道|寫道|说道|說道|说|說|问道|問道|问|表示|指出|称|稱|答道"
 TABLES: dict[str, list[Rule]] = {
+    # asked before all others: a full stop inside a number, a name or an address
+    "first": [_rule(False, r"\.", r"[\p{Nd}a-z]")],
     "en": [
         _never("Prof Dr Mr Mrs Ms St Rev Gen Sen Rep Gov Hon Capt Col Lt Sgt"),
         _never("Fig Figs fig Sect Sec Eq Ref Vol vol pp Ch Approx approx vs cf Cf e.g i.e viz al"),
@@ -71,10 +71,10 @@ TABLES: dict[str, list[Rule]] = {
     ],
     "hi": [
         _rule(False, r"\p{Devanagari}[\p{Devanagari}\p{M}]*\.", r""),
-        _rule(False, r"[।॥!?…][”\"]", r"\s*[^।॥!?…“”\n]{1,60}?\sने\s(?:लिखा|कहा|पूछा|बताया)\s*[।॥!?….]"),
+        _rule(False, r"[।॥!?…][”\"]", r"\s*[^।॥!?…“”\n]+?\sने\s(?:लिखा|कहा|पूछा|बताया)\s*[।॥!?….]"),
     ],
     "zh": [
-        _rule(False, r"[。！？…!?][”」』\"]", rf"[^。！？…!?“”「」]{{0,40}}(?:{SPEECH_ZH})[。！？…!?]"),
+        _rule(False, r"[。！？…!?][”」』\"]", rf"[^。！？…!?“”「」]*(?:{SPEECH_ZH})[。！？…!?]"),
     ],
     "ja": [
         _rule(False, r"[。！？…!?][」』”]", r"\s*(?:と|って|との|という|といった|などと)"),
@@ -105,10 +105,10 @@ _ORDER = ["en", "de", "fr", "es", "hi", "zh", "ja", "th"]
 
 
 def cascade(lang: str | None) -> list[Rule]:
-    """The tables in the order they are asked: the label's language, the other languages, the common table."""
+    """The tables in the order they are asked: the first one, the label's language, the other languages, the common table."""
     own = (lang or "").strip().lower()[:2]
-    order = [own, *[x for x in _ORDER if x != own]] if own in TABLES else _ORDER
-    return [r for name in [*order, "common"] for r in TABLES[name]]
+    order = [own, *[x for x in _ORDER if x != own]] if own in _ORDER else _ORDER
+    return [r for name in ["first", *order, "common"] for r in TABLES[name]]
 
 
 class Compiled(NamedTuple):
@@ -140,7 +140,7 @@ _COMPILED: dict = {}
 def _rules(lang: str | None) -> tuple[Compiled, Compiled]:
     """The cascade for places after a full stop, and for all others, where rules that ask for a full stop are left out."""
     own = (lang or "").strip().lower()[:2]
-    own = own if own in TABLES else ""
+    own = own if own in _ORDER else ""
     if own not in _COMPILED:
         rules = cascade(own)
         _COMPILED[own] = _compile(rules), _compile([r for r in rules if not r.before.endswith(r"\.")])
@@ -148,18 +148,20 @@ def _rules(lang: str | None) -> tuple[Compiled, Compiled]:
 
 
 def _decide(rules: tuple, text: str, lo: int, at: int, mark: int, hi: int) -> bool:
-    dotted = text[mark - 1] == "."
-    if dotted and at < hi and (text[at].isdigit() or "a" <= text[at] <= "z"):
-        return False  # inside a number, a name or an address; no table breaks there
-    own, end = rules[0] if dotted else rules[1], min(hi, at + WINDOW * 2)
+    """Does a sentence end at `at`, the marks before it ending at `mark`? The rules see the block [lo, hi), all of it."""
+    own = rules[0] if text[mark - 1] == "." else rules[1]
     if at == mark:
-        m = own.whole.match(text, at, end)
+        m = own.whole.match(text, at, hi)
         return bool(m) and own.verdicts[m.lastindex - 1]
-    return _single(own, text[max(lo, mark - WINDOW) : mark], text[at:end])
+    return next((breaks for breaks, b, a in own.single if a.match(text, at, hi) and b.match(text, lo, mark)), False)
 
 
-def _single(own: Compiled, before: str, after: str) -> bool:
-    return next((breaks for breaks, b, a in own.single if a.match(after) and b.match(before)), False)
+def _after_close(rules: tuple, text: str, lo: int, inner: str, close: int, at: int, hi: int) -> bool:
+    """The same behind a closing mark at `close`: the rules see the quotation's end mark next to it, whatever blank or note stands between (inner is without these)."""
+    plain = text[close - 1 : close] == inner[-1:]
+    before = text if plain else inner + text[close]
+    start, end = (lo, close + 1) if plain else (0, len(before))
+    return next((breaks for breaks, b, a in rules[1].single if a.match(text, at, hi) and b.match(before, start, end)), False)
 
 
 def _matched(text: str, lo: int, hi: int) -> dict[int, int]:
@@ -214,13 +216,8 @@ def _paragraph(text: str, lo: int, hi: int, rules: tuple) -> Iterator[tuple[int,
                 tail = TAIL_AFTER_CLOSE.match(text, at, hi)
                 if at < hi and text[at] in ENDS:
                     continue
-                stop, mark = tail.end(), -1
-                # the rules see the end mark next to the closing mark, whatever blank or note stands between
-                before = inner[-WINDOW:] + text[j]
-                after = text[stop : min(hi, stop + WINDOW * 2)]
-                verdict = _single(rules[1], before, after)
-                at = stop
-                if verdict:
+                at = stop = tail.end()
+                if _after_close(rules, text, lo, inner, j, stop, hi):
                     yield start, stop
                     start = stop
             continue
@@ -235,12 +232,12 @@ def _paragraph(text: str, lo: int, hi: int, rules: tuple) -> Iterator[tuple[int,
             if k >= 0:
                 stop = k
             at = max(stop, m.start() + 1)
-            if _decide(rules, text, start, stop, marks, hi):
+            if _decide(rules, text, lo, stop, marks, hi):
                 yield start, stop
                 start = stop
         else:  # white space next to Thai
             at = m.end()
-            if _decide(rules, text, start, m.start(), m.start(), hi):
+            if _decide(rules, text, lo, m.start(), m.start(), hi):
                 yield start, m.start()
                 start = m.end()
     end = hi
