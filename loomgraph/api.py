@@ -6,16 +6,18 @@ import datetime as dt
 import os
 import time
 from collections import OrderedDict
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.functions import index_page
 from loomgraph.functions.frontmatter import compose, parse
-from loomgraph.functions.text import normalize_slug
+from loomgraph.functions.text import normalize_slug, title_to_slug
 from loomgraph.operators import dml, freshness, graph, metrics, scoring, usage
 from loomgraph.operators import pages as P
-from loomgraph.runtime import cut, release
-from loomgraph.schema import RETENTION_DAYS, Code, GraphError
+from loomgraph.runtime import cut, local, release
+from loomgraph.schema import MAX_ERROR_CHARS, RETENTION_DAYS, Code, GraphError
 from loomgraph.sources import commit, usage_log, wiki
 
 STATE_DIR = ".loomgraph"
@@ -26,6 +28,16 @@ def today() -> str:
     return dt.datetime.now(dt.timezone.utc).date().isoformat()
 
 
+def seed_of(day: str) -> str:
+    """The seed of a day's walk: its date without marks."""
+    return day.replace("-", "")
+
+
+def err_code(e: Exception) -> str:
+    """What the usage log says of an error: its code, else the beginning of its text."""
+    return e.code.value if isinstance(e, GraphError) else str(e)[:MAX_ERROR_CHARS]
+
+
 class WikiGraph:
     """A wiki's pages and edges, kept between calls and read again when files may have changed.
 
@@ -33,13 +45,18 @@ class WikiGraph:
     root is a folder with wiki/; or give pages (and log) as frames, which are then read-only.
     """
 
-    def __init__(self, spark: SparkSession, root: str | None = None, pages: DataFrame | None = None, log: DataFrame | None = None, actor: str = "lib", trust_seconds: float = TRUST_SECONDS, state_dir: str = STATE_DIR):
+    def __init__(self, spark: SparkSession, root: str | None = None, pages: DataFrame | None = None, log: DataFrame | None = None, actor: str = "lib", trust_seconds: float = TRUST_SECONDS, state_dir: str = STATE_DIR, maintain_index: bool = True, maintain_log: bool = True, strict_verify: bool = False):
         self.spark, self.root, self._given, self._log = spark, root, pages, log
+        self.maintain_index, self.strict = maintain_index, strict_verify
         self.trust, self._pages, self._edges, self._checked = trust_seconds, None, None, 0.0
         self.state = os.path.join(root, state_dir) if root else None
-        self.logger = usage_log.UsageLogger(os.path.join(self.state, "usage"), actor) if root else None
-        if root and not os.path.isdir(os.path.join(root, "wiki")):
-            raise GraphError(Code.WIKI_ROOT_NOT_FOUND, f"{root} holds no wiki/", detail=root)
+        self.logger = usage_log.UsageLogger(os.path.join(self.state, "usage"), actor) if root and maintain_log else None
+        self.validate()
+
+    def validate(self) -> None:
+        """WIKI_ROOT_NOT_FOUND unless the root holds wiki/."""
+        if self.root and not os.path.isdir(os.path.join(self.root, "wiki")):
+            raise GraphError(Code.WIKI_ROOT_NOT_FOUND, f"{self.root} holds no wiki/", detail=self.root)
 
     # what is kept
 
@@ -138,114 +155,186 @@ class WikiGraph:
 
     # writes: a plan, then its commit
 
-    def _text(self, row, **changes) -> str:
-        """A page's file with changed body or front matter; keys that nobody changed stay as they are."""
-        path = os.path.join(self.root, row.path)
-        front, body = parse(wiki.read_clean(path)[0]) if os.path.exists(path) else ({}, "")
-        front = dict(front or {})
-        body = changes.pop("content", None) if changes.get("content") is not None else body
-        front.update({k: v for k, v in changes.items() if v is not None and k != "content"})
-        return compose(front, body)
+    def _change(self, row, **changes) -> commit.Change:
+        """A page's file with changed body or front matter; keys that nobody changed stay as they are.
 
-    def _commit(self, op: str, slug, changes: list[commit.Change], dry_run: bool) -> list[str]:
+        The plan was made from the scan: a file whose time or size is another by now is EXTERNAL_MODIFICATION, here or under the commit's lock.
+        """
+        path = self._at(row.path)
+        state = wiki.snapshot([path], self.strict)[path]
+        if state is None or state[:2] != (row.mtime, row.size):
+            raise GraphError(Code.EXTERNAL_MODIFICATION, "changed by someone else", slug=row.slug, detail=[path])
+        front, body = parse(wiki.read_clean(path)[0])
+        front = dict(front or {})
+        new_body = changes.pop("content", None)
+        front.update({k: v for k, v in changes.items() if v is not None})
+        return commit.Change(path, compose(front, body if new_body is None else new_body), state)
+
+    def _rows(self, plan: DataFrame) -> Iterator:
+        """A plan's rows with their file's time and size as scanned, one at a time."""
+        stat = self.pages().select("slug", "mtime", "size")
+        if "path" not in plan.columns:
+            stat = self.pages().select("slug", "path", "mtime", "size")
+        return plan.join(stat, "slug", "left").toLocalIterator()
+
+    def _moved(self, change: commit.Change, path: str) -> Iterator[commit.Change]:
+        """The change, at its new path if that is another one."""
+        if path == change.path:
+            yield change
+        else:
+            yield commit.Change(path, change.new, None)
+            yield commit.Change(change.path, None, change.seen)
+
+    def _index(self, edit: Callable[[str], str]) -> Iterator[commit.Change]:
+        """The index page as edited."""
+        if self.maintain_index:
+            path = self._at("wiki/index.md")
+            seen = wiki.snapshot([path], self.strict)[path]
+            old = wiki.read_clean(path)[0] if seen else "# Index\n"
+            yield commit.Change(path, edit(old), seen)
+
+    def _commit(self, op: str, slug, changes: Iterable[commit.Change], dry_run: bool) -> list[str]:
         try:
-            touched = commit.commit(changes, self.state, dry_run=dry_run)
-        except GraphError as e:
-            self._note(op, slug, ok=False, dry=dry_run, err=str(e))
+            if not self.root:
+                raise GraphError(Code.WIKI_ROOT_NOT_FOUND, "a graph of frames is read-only")
+            touched = commit.commit(changes, self.state, dry_run=dry_run, strict=self.strict)
+        except Exception as e:
+            self._note(op, slug, ok=False, dry=dry_run, err=err_code(e))
             raise
         self._note(op, slug, dry=dry_run)
-        self.logger.flush()
+        if self.logger:
+            self.logger.flush()
         if touched and not dry_run:
             self.refresh()
         return touched
 
     def _at(self, path: str) -> str:
-        if not self.root:
-            raise GraphError(Code.WIKI_ROOT_NOT_FOUND, "a graph of frames is read-only")
         return os.path.join(self.root, path)
 
     @staticmethod
     def _rel(rows) -> list[dict]:
         return [{"slug": r["slug"], "relation": r["relation"]} for r in rows]
 
-    def add_node(self, title: str, type: str = "synthesis", content: str = "", tags: list[str] | None = None, sources: list[str] | None = None, dry_run: bool = False) -> list[str]:
-        new = self.spark.createDataFrame([(title, type, content, tags or [], sources or [])], "title string, type string, content string, tags array<string>, sources array<string>")
-        changes = []
-        for r in dml.add(self.pages(), new, today()).collect():
-            front = {"type": r.type, "title": r.title, "created": r.created, "updated": r.updated, "tags": r.tags, "related": self._rel({"slug": x, "relation": None} for x in r.links), "sources": r.sources}
-            changes.append(commit.Change(self._at(r.path), compose(front, r.content)))
-        return self._commit("add_node", title, changes, dry_run)
+    def _known(self, *slugs: str) -> None:
+        """NODE_NOT_FOUND unless all are pages."""
+        asked = local(self.spark, [(normalize_slug(s),) for s in slugs], "slug string")
+        for r in dml.missing(self.pages(), asked, "slug").limit(1).collect():
+            raise GraphError(Code.NODE_NOT_FOUND, f"no page {r.slug}", slug=r.slug)
+
+    def add_node(self, title: str, type: str = "synthesis", content: str = "", tags: list[str] | None = None, sources: list[str] | None = None, related: list[str] | None = None, on_collision: str = "suffix", dry_run: bool = False) -> list[str]:
+        """A new page and its line in the index. on_collision: a taken slug is numbered (suffix) or NODE_ALREADY_EXISTS (error)."""
+        kinds = "title string, type string, content string, tags array<string>, sources array<string>, related array<string>"
+        new = local(self.spark, [(title, type, content, tags or [], sources or [], related or [])], kinds)
+
+        def changes() -> Iterator[commit.Change]:
+            title_to_slug(title)  # an unusable title is an error, not nothing
+            for r in dml.add(self.pages(), new, today()).collect():
+                if r.collides and on_collision == "error":
+                    raise GraphError(Code.NODE_ALREADY_EXISTS, f"page {title_to_slug(title)} exists", slug=title_to_slug(title))
+                front = {"type": r.type, "title": r.title, "created": r.created, "updated": r.updated, "tags": r.tags, "related": self._rel({"slug": x, "relation": None} for x in r.links), "sources": r.sources}
+                yield commit.Change(self._at(r.path), compose(front, r.content), None)
+                yield from self._index(lambda text, r=r: index_page.with_entry(text, r.slug, r.title, r.type))
+
+        return self._commit("add_node", title, changes(), dry_run)
 
     def update_node(self, slug: str, dry_run: bool = False, **fields) -> list[str]:
         kinds = {f.name: f.dataType.simpleString() for f in self.pages().schema}
         names = [k for k in fields if k in kinds]
-        patch = self.spark.createDataFrame([(normalize_slug(slug), *[fields[k] for k in names])], ", ".join(["slug string", *[f"{k} {kinds[k]}" for k in names]]))
-        changes = []
-        for r in dml.update(self.pages(), patch, today()).collect():
-            own = {k: r[k] for k in r.fields_changed}
-            if "related" in own:
-                own["related"] = self._rel(own["related"])
-            changes.append(commit.Change(self._at(r.new_path), self._text(r, updated=r.updated, **own)))
-            if r.new_path != r.path:
-                changes.append(commit.Change(self._at(r.path), None))
-        return self._commit("update_node", slug, changes, dry_run)
+        patch = local(self.spark, [(normalize_slug(slug), *[fields[k] for k in names])], ", ".join(["slug string", *[f"{k} {kinds[k]}" for k in names]]))
+
+        def changes() -> Iterator[commit.Change]:
+            self._known(slug)
+            for r in self._rows(dml.update(self.pages().drop("mtime", "size"), patch, today())):
+                own = {k: r[k] for k in r.fields_changed}
+                if "related" in own:
+                    own["related"] = self._rel(own["related"])
+                yield from self._moved(self._change(r, updated=r.updated, **own), self._at(r.new_path))
+                if "title" in own:
+                    yield from self._index(lambda text, r=r: index_page.with_changed_entry(text, r.slug, r.slug, r.title))
+
+        return self._commit("update_node", slug, changes(), dry_run)
 
     def rename_node(self, old: str, new: str, dry_run: bool = False) -> list[str]:
-        changes = []
-        for r in dml.rename(self.pages(), normalize_slug(old), normalize_slug(new), today()).collect():
-            changes.append(commit.Change(self._at(r.new_path), self._text(r, content=r.content, related=self._rel(r.related), updated=r.updated or None)))
-            if r.new_path != r.path:
-                changes.append(commit.Change(self._at(r.path), None))
-        return self._commit("rename_node", [old, new], changes, dry_run)
+        was, name = normalize_slug(old), normalize_slug(new)
+
+        def changes() -> Iterator[commit.Change]:
+            title = None
+            for r in self._rows(dml.rename(self.pages(), was, name, today())):
+                if r.slug == was:
+                    title = (wiki.find_page(self.pages(), was).title,)
+                yield from self._moved(self._change(r, content=r.content, related=self._rel(r.related), updated=r.updated or None), self._at(r.new_path))
+            if title:
+                yield from self._index(lambda text: index_page.with_changed_entry(text, was, name, title[0]))
+
+        return self._commit("rename_node", [old, new], changes(), dry_run)
+
+    def _deleted(self, slugs: list[str], dangling: str) -> Iterator[commit.Change]:
+        gone = set()
+        for r in self._rows(dml.delete_all(self.pages(), slugs, dangling)):
+            if r.action == "delete":
+                gone.add(r.slug)
+                yield commit.Change(self._at(r.path), None, (r.mtime, r.size, None) if not self.strict else wiki.snapshot([self._at(r.path)], True)[self._at(r.path)])
+            else:
+                yield self._change(r, content=r.content, related=self._rel(r.related))
+        if gone:
+            yield from self._index(lambda text: index_page.without_entries(text, gone))
 
     def delete_node(self, slug: str, dangling: str = "strikethrough", dry_run: bool = False) -> list[str]:
-        rows = dml.delete(self.pages(), normalize_slug(slug), dangling).collect()
-        changes = [commit.Change(self._at(r.path), None if r.action == "delete" else self._text(r, content=r.content, related=self._rel(r.related))) for r in rows]
-        return self._commit("delete_node", slug, changes, dry_run)
+        return self._commit("delete_node", slug, self._deleted([normalize_slug(slug)], dangling), dry_run)
 
-    def add_edge(self, source: str, target: str, relation: str | None = None, dry_run: bool = False) -> list[str]:
-        want = self.spark.createDataFrame([(normalize_slug(source), normalize_slug(target), relation)], "source string, target string, relation string")
-        return self._edge_plan("add_edge", dml.add_edges(self.pages(), want), source, target, dry_run)
+    def add_edge(self, source: str, target: str, relation: str | None = None, context: str | None = None, dry_run: bool = False) -> list[str]:
+        """context names the section of the source's text that gets the link."""
+        want = local(self.spark, [(normalize_slug(source), normalize_slug(target), relation, context)], "source string, target string, relation string, context string")
+        return self._edge_plan("add_edge", lambda: dml.add_edges(self.pages(), want), source, target, dry_run)
 
     def remove_edge(self, source: str, target: str, dry_run: bool = False) -> list[str]:
-        gone = self.spark.createDataFrame([(normalize_slug(source), normalize_slug(target))], "source string, target string")
-        return self._edge_plan("remove_edge", dml.remove_edges(self.pages(), gone), source, target, dry_run)
+        gone = local(self.spark, [(normalize_slug(source), normalize_slug(target))], "source string, target string")
+        return self._edge_plan("remove_edge", lambda: dml.remove_edges(self.pages(), gone), source, target, dry_run)
+
+    def _edge_plan(self, op: str, plan: Callable[[], DataFrame], source: str, target: str, dry_run: bool) -> list[str]:
+        def changes() -> Iterator[commit.Change]:
+            self._known(source, target)
+            for r in self._rows(plan()):
+                yield self._change(r, content=r.content, related=self._rel(r.related))
 
-    def _edge_plan(self, op: str, plan: DataFrame, source: str, target: str, dry_run: bool) -> list[str]:
-        rows = plan.join(self.pages().select("slug", "path"), "slug").collect()
-        return self._commit(op, [source, target], [commit.Change(self._at(r.path), self._text(r, content=r.content, related=self._rel(r.related))) for r in rows], dry_run)
+        return self._commit(op, [source, target], changes(), dry_run)
 
     def rebuild_index(self, dry_run: bool = False) -> list[str]:
         """index.md written anew from the pages; sections that belong to no type are kept, once, at the end."""
-        path, out, last = self._at("wiki/index.md"), ["# Index"], None
-        rows = dml.index_lines(self.pages()).toLocalIterator()
-        own = set()
-        for r in rows:
-            if r.heading != last:
-                out += ["", f"## {r.heading}", ""]
-                own.add(r.heading)
-                last = r.heading
-            out.append(r.line)
-        old = wiki.read_clean(path)[0] if os.path.exists(path) else ""
-        sections = [s for s in old.split("\n## ")[1:]]
-        known = own | {"Entities", "Concepts", "Sources", "Queries", "Comparisons", "Synthesis", "Dreams", "Overview", "Other"}
-        kept = dict.fromkeys(s.rstrip() for s in sections if s.split("\n", 1)[0].strip() not in known)
-        text = "\n".join(out).rstrip() + "".join(f"\n\n## {s}" for s in kept) + "\n"
-        return self._commit("rebuild_index", None, [commit.Change(path, text)], dry_run)
-
-    def purge(self, before: str, hard: bool = False, dry_run: bool = False) -> list[str]:
-        """Pages whose clock is before the date are marked invalidated, or deleted with hard."""
-        rows = freshness.purge_candidates(self.pages(), before).join(self.pages().select("slug", "path"), "slug").collect()
+
+        def changes() -> Iterator[commit.Change]:
+            path = self._at("wiki/index.md")
+            seen = wiki.snapshot([path], self.strict)[path]
+            lines = ((r.heading, r.line) for r in dml.index_lines(self.pages()).toLocalIterator())
+            yield commit.Change(path, "\n".join(index_page.rebuilt(lines, wiki.read_clean(path)[0] if seen else "")), seen)
+
+        return self._commit("rebuild_index", None, changes(), dry_run)
+
+    def purge_report(self, before: str | None = None, slugs: list[str] | None = None) -> dict[str, list[str] | int]:
+        """What purge() would touch: affected slugs, slugs not found, and by date the number of pages kept and without a clock."""
+        if slugs is not None:
+            wanted = list(dict.fromkeys(map(normalize_slug, slugs)))
+            lost = {r.slug for r in dml.missing(self.pages(), local(self.spark, [(s,) for s in wanted], "slug string"), "slug").collect()}
+            return {"affected": [s for s in wanted if s not in lost], "not_found": [s for s in wanted if s in lost]}
+        s = freshness.purge_summary(self.pages(), before).first()
+        return {"affected": [r.slug for r in freshness.purge_candidates(self.pages(), before).orderBy("slug").toLocalIterator()], "not_found": [], "kept": s.kept, "skipped_no_clock": s.skipped_no_clock}
+
+    def purge(self, before: str | None = None, hard: bool = False, dry_run: bool = False, slugs: list[str] | None = None) -> list[str]:
+        """Pages whose clock is before the date, or those named, are marked invalidated, or with hard deleted; one commit."""
+        if (before is None) == (slugs is None):
+            raise ValueError("a purge goes by date or by slugs")
+        if slugs is not None:
+            hit = self.pages().join(F.broadcast(local(self.spark, [(normalize_slug(s),) for s in slugs], "slug string").distinct()), "slug", "left_semi")
+        else:
+            hit = freshness.purge_candidates(self.pages(), before)
         if hard:
-            touched = []
-            for r in rows:
-                touched += self.delete_node(r.slug, dry_run=dry_run)
-            return touched
-        return self._commit("update_node", None, [commit.Change(self._at(r.path), self._text(r, status="invalidated", updated=today())) for r in rows], dry_run)
+            return self._commit("delete_node", None, self._deleted([r.slug for r in hit.select("slug").toLocalIterator()], "strikethrough"), dry_run)
+        return self._commit("update_node", None, (self._change(r, status="invalidated", updated=today()) for r in self._rows(hit.select("slug"))), dry_run)
 
     def cleanup(self) -> list[str]:
         gone = commit.cleanup(self.root, self.state)
-        self.logger.prune()
+        if self.logger:
+            self.logger.prune()
         self._note("cleanup")
         self.release()
         return gone

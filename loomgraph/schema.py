@@ -10,10 +10,14 @@ TYPE_DIRS = {"entity": "entities", "concept": "concepts", "source": "sources", "
 DIR_TYPES = {d: t for t, d in TYPE_DIRS.items() if d}
 #: Known page types in their order.
 KNOWN_TYPES = ["entity", "concept", "source", "query", "comparison", "synthesis", "dream", "overview"]
+#: Page type -> heading of its section in the index.
+TYPE_HEADINGS = {"entity": "Entities", "concept": "Concepts", "source": "Sources", "query": "Queries", "comparison": "Comparisons", "synthesis": "Synthesis", "dream": "Dreams", "overview": "Overview"}
+#: Files and states of the data model.
 INFRA_FILES = ["index.md", "log.md"]
 COMPRESSION_STAGES = ["active", "condensed", "skeleton"]
 HIDDEN_TAG = "needs-verification"
 
+# Limits and intervals that decide results.
 READ_LIMIT, READ_MAX = 200, 500
 EDGE_LIMIT, EDGE_MAX = 100, 500
 MAX_HOPS = 5
@@ -22,10 +26,13 @@ USAGE_DAYS, USAGE_TOP, USAGE_BOTTOM, RETENTION_DAYS = 30, 64, 64, 90
 MAX_APPEND_BYTES, MAX_ERROR_CHARS, MAX_PATH = 4096, 200, 240
 CONTEXT_CHARS, ANCHOR_CHARS, DEGRADED_CHARS, RECENT_ROUNDS, TOOL_RESULT_CHARS = 100_000, 2_048, 512, 10, 8_192
 FILE_READ_BYTES, FILE_READ_LINES = 50 * 1024, 2_000
+JOURNAL_CANDIDATES, SNIPPET_CHARS = 20, 200
 THEME_PURCHASE = 2
 
 
 class Code(str, Enum):
+    """Error codes (fixed values)."""
+
     NODE_NOT_FOUND = "NODE_NOT_FOUND"
     NODE_ALREADY_EXISTS = "NODE_ALREADY_EXISTS"
     RENAME_TARGET_EXISTS = "RENAME_TARGET_EXISTS"
@@ -58,7 +65,7 @@ class ResultTooLarge(GraphError):
 
 @dataclass(frozen=True)
 class Tuning:
-    """Weights of the scores and of the walk."""
+    """Weights of the scores and of the walk; the defaults are fixed values."""
 
     certainty: float = 0.5
     seeds: tuple[int, int] = (5, 8)
@@ -76,13 +83,18 @@ class Tuning:
 
     @property
     def p_edge(self) -> float:
-        return 0.4 + 0.5 * min(1.0, max(0.0, self.certainty))
+        return 0.4 + 0.5 * clamp01(self.certainty)
 
     @property
     def seed_count(self) -> int:
         lo, hi = self.seeds
-        return max(1, int(hi - (hi - lo) * min(1.0, max(0.0, self.certainty)) + 0.5))
+        return max(1, int(hi - (hi - lo) * clamp01(self.certainty) + 0.5))
 
     @property
     def floor_weight(self) -> float:
-        return self.epsilon * (2 - self.certainty)
+        return self.epsilon * (2 - clamp01(self.certainty))
+
+
+def clamp01(x: float | None, default: float = 0.5) -> float:
+    """x within 0 and 1; no number is the default."""
+    return default if x is None or x != x else min(1.0, max(0.0, x))
