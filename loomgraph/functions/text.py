@@ -34,6 +34,15 @@ def title_to_slug(title: str) -> str:
     return s
 
 
+def starts_with_digit(slug: Column) -> Column:
+    return slug.rlike(r"^\p{N}")
+
+
+def with_nfkc(df: DataFrame, name: str, col: Column) -> DataFrame:
+    """Column form of normalize_slug."""
+    return df.withColumn(name, nfkc(col)).withColumn(name, F.lower(name))
+
+
 def with_slug(df: DataFrame, name: str, title: Column) -> DataFrame:
     """Column form of title_to_slug; null instead of an error."""
     df = df.withColumn(name, F.regexp_replace(F.lower(F.trim(nfkc(title))), r"(?U)\s+", "-"))
@@ -71,8 +80,9 @@ def wikilinks(text: Column) -> Column:
             F.when(keep, F.concat(state["kept"], F.array(F.regexp_replace(line, "`[^`]*`", "")))).otherwise(state["kept"]).alias("kept"),
         )
 
-    visible = F.array_join(F.aggregate(lines, zero, step, lambda s: s["kept"]), "\n")
-    return F.transform(F.regexp_extract_all(visible, F.lit(r"\[\[([^\]|]+)(?:\|[^\]]+)?\]\]"), F.lit(1)), lambda x: F.trim(x))
+    visible = F.aggregate(lines, zero, step, lambda s: s["kept"])
+    links = F.flatten(F.transform(visible, lambda line: F.regexp_extract_all(line, F.lit(r"\[\[([^\]|]+)(?:\|[^\]]+)?\]\]"), F.lit(1))))
+    return F.transform(links, lambda x: F.trim(x))
 
 
 def has_wikilink(text: str, slug: str) -> bool:

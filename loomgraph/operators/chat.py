@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.schema import ANCHOR_CHARS, CONTEXT_CHARS, DEGRADED_CHARS, RECENT_ROUNDS, TOOL_RESULT_CHARS
@@ -60,10 +60,14 @@ def summary(fates: DataFrame) -> DataFrame:
     return out.groupBy("conv_id").agg(F.count("*").alias("operations"), F.concat_ws(", ", F.sort_array(F.collect_set("tool_call_id"))).alias("calls"))
 
 
-def truncated(content, limit: int = TOOL_RESULT_CHARS):
-    """A tool result's text within the limit: its head and tail, with a mark between."""
-    half = limit // 2
-    return F.when(F.length(content) <= limit, content).otherwise(F.concat(F.substring(content, 1, half), F.lit("\n[...]\n"), F.substring(content, -half, half)))
+def truncated(content: Column, tool: Column, limit: int = TOOL_RESULT_CHARS) -> Column:
+    """A tool result within `limit` characters: its end where the tool writes, else its beginning up to a line's end; a note says what is left out."""
+    writes = tool.rlike("write|edit|add|update|delete|rename|remove|create")
+    left = (F.length(content) - limit).cast("string")
+    head = F.substring(content, 1, limit)
+    whole = F.when(F.contains(F.substring(head, 2, limit), F.lit("\n")), F.regexp_replace(head, r"\n[^\n]*\z", "")).otherwise(head)
+    tail = F.concat(F.lit("[truncated, "), left, F.lit(" chars omitted from head]\n"), F.substring(content, -limit, limit))
+    return F.when(F.length(content) <= limit, content).when(writes, tail).otherwise(F.concat(whole, F.lit("\n[truncated, "), left, F.lit(" chars omitted from tail]")))
 
 
 def resolve_tool(names: list[str], wanted: str) -> str | None:

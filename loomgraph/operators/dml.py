@@ -83,7 +83,7 @@ def delete_all(pages: DataFrame, slugs: list[str], mode: str = "strikethrough")
     targets = F.array_distinct(F.concat(in_text, F.transform("related", lambda r: F.lower(r["slug"]))))
     hit = pages.select("slug", F.explode(targets).alias("__t")).join(F.broadcast(named), "__t").groupBy("slug").agg(F.collect_list("__page").alias("__gone"))
     rows = pages.join(hit, "slug").join(F.broadcast(wanted), "slug", "left_anti")
-    kept = F.filter("related", lambda r: ~F.exists("__gone", lambda g: g["slug"] == F.lower(r["slug"])))
+    kept = F.filter("related", lambda r: ~F.exists("__gone", lambda g: g["slug"].eqNullSafe(F.lower(r["slug"]))))
     touched = rows.select("slug", F.lit("update").alias("action"), "path", _dangle_all("content", "__gone", F.lit(mode)).alias("content"), kept.alias("related"), "updated")
     lost = gone.select("slug", F.lit("delete").alias("action"), "path", F.lit(None).cast("string").alias("content"), F.lit(None).cast(REL).alias("related"), "updated")
     return touched.unionByName(lost)
@@ -174,7 +174,7 @@ def remove_edges(pages: DataFrame, gone: DataFrame) -> DataFrame:
     """(slug, content, related) of pages that lose the links (source, target), from text and related."""
     g = gone.select(F.col("source").alias("slug"), F.lower("target").alias("t"))
     rows = _rel(pages).join(g, "slug")
-    rows = rows.withColumn("__r", F.filter("related", lambda r: F.lower(r["slug"]) != F.col("t"))).withColumn("__c", _remove(F.col("content"), F.col("t")))
+    rows = rows.withColumn("__r", F.filter("related", lambda r: ~F.lower(r["slug"]).eqNullSafe(F.col("t")))).withColumn("__c", _remove(F.col("content"), F.col("t")))
     changed = ~F.col("__r").eqNullSafe(F.col("related")) | ~F.col("__c").eqNullSafe(F.col("content"))
     return rows.where(changed).select("slug", F.col("__c").alias("content"), F.col("__r").alias("related"))
 

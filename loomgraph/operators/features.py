@@ -92,6 +92,14 @@ def apply_deltas(state: DataFrame | None, delta: DataFrame, remaining) -> DataFr
     return merged.where("NOT __touched").select(*KEY, "n", F.col("top_ms").alias("last_ms")).unionByName(fixed)
 
 
+def of_keys(rows: DataFrame, touched: DataFrame) -> DataFrame:
+    """Keyed rows of the keys in touched (slug, event_type); few keys, counted first, are broadcast, many meet the rows by a salted join."""
+    if touched.count() <= MAX_BROADCAST_KEYS:
+        return rows.join(F.broadcast(touched), KEY, "left_semi")
+    both = F.concat_ws("\0", *KEY)
+    return lookup_join(rows.withColumn("__key", both), touched.select(both.alias("__key")), "__key", "left_semi").drop("__key")
+
+
 def features(events: DataFrame) -> DataFrame:
     """(slug, event_type, n, last_ms) over the distinct events of a usage log.
 
@@ -107,14 +115,8 @@ def features(events: DataFrame) -> DataFrame:
     surplus = cut(repeats(events, again), "surplus")
     back = keyed(surplus, ["surplus"])
 
-    def remaining(touched: DataFrame) -> DataFrame:
-        # a retracted delivery leaves its first one standing
-        if touched.count() <= MAX_BROADCAST_KEYS:
-            return rows.join(F.broadcast(touched), KEY, "left_semi")
-        both = F.concat_ws("\0", *KEY)
-        return lookup_join(rows.withColumn("__key", both), touched.select(both.alias("__key")), "__key", "left_semi").drop("__key")
-
-    return apply_deltas(state, deltas(back, -F.col("surplus")), remaining)
+    # a retracted delivery leaves its first one standing
+    return apply_deltas(state, deltas(back, -F.col("surplus")), lambda touched: of_keys(rows, touched))
 
 
 def feature_rows(state: DataFrame) -> DataFrame:

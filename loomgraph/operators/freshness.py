@@ -54,6 +54,16 @@ def overdue(pages: DataFrame, today: str, ignore_updated: bool = False) -> DataF
     return schedule(pages, today, ignore_updated=ignore_updated).where("bucket = 'due'").select("slug", "overdue_days")
 
 
+def due_first(scheduled: DataFrame) -> DataFrame:
+    """What is due, longest overdue first."""
+    return scheduled.where("bucket = 'due'").orderBy(F.desc("overdue_days"), "slug")
+
+
+def soon_first(scheduled: DataFrame) -> DataFrame:
+    """What is upcoming, soonest first."""
+    return scheduled.where("bucket = 'upcoming'").orderBy("next_due", "slug")
+
+
 def purge_candidates(pages: DataFrame, cutoff: str) -> DataFrame:
     """(slug, clock, clock_source): pages whose `checked`, else `as_of`, is before the cutoff as text; `updated` never counts."""
     clock = F.coalesce(_filled("checked"), _filled("as_of"))

@@ -179,24 +179,41 @@ def guarded(df: DataFrame, limit: int | None, default: int, most: int, suggest=N
     """df itself if it has at most min(limit or default, most) rows; else ResultTooLarge. Only limit + 1 rows are ever counted."""
     allowed = min(default if limit is None else limit, most)
     if df.limit(allowed + 1).count() > allowed:
-        raise ResultTooLarge(df.count(), allowed, suggest() if suggest else {})
+        n = df.count()
+        raise ResultTooLarge(n, allowed, suggest(n, allowed) if suggest else {})
     return df
 
 
-def suggestions(nodes: DataFrame) -> dict:
-    """How to ask for less: the five most frequent types and tags of what was asked for."""
+def suggestions(nodes: DataFrame, count: int = 0, limit: int = READ_LIMIT, k: int | None = None) -> dict:
+    """How to ask for less: the five most frequent types and tags, fewer hops where there are several, a higher limit up to READ_MAX."""
     types = nodes.groupBy("type").agg(F.count("*").alias("n"), F.min("ord").alias("seen"))
-    return {
+    out: dict = {
         "types": [(r.type, r.n) for r in P.ranked(types, "n", 5).collect()],
         "tags": [(r.value, r.n) for r in P.ranked(P.value_counts(nodes, "tags"), "n", 5).collect()],
     }
+    if k is not None and k > 1:
+        out["reduce_k"] = k - 1
+    return out | {"increase_limit": min(max(count, limit), READ_MAX)}
+
+
+NODE_COLUMNS = ["slug", "title", "type", "tags", "sources", "related", "created", "updated", "as_of", "checked", "path", "status", "superseded_by", "compression", "ord"]
+
+
+def node_columns(pages: DataFrame) -> DataFrame:
+    """A page as a node of the graph: without its text, links and file."""
+    return pages.select(*[c for c in NODE_COLUMNS if c in pages.columns])
+
+
+def page_columns(pages: DataFrame) -> DataFrame:
+    """A page in full, as a reader gets it: a node with its text."""
+    return pages.select(*[c for c in [*NODE_COLUMNS, "content"] if c in pages.columns])
 
 
 def read_graph(nodes: DataFrame, edges: DataFrame, limit: int | None = None, **filters) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of the filtered subgraph; more nodes than the limit are refused, not cut off."""
     kept = read_nodes(nodes, edges, **filters)
-    guarded(kept, limit, READ_LIMIT, READ_MAX, lambda: suggestions(kept))
-    return kept, induced(edges, kept)
+    guarded(kept, limit, READ_LIMIT, READ_MAX, lambda n, allowed: suggestions(nodes, n, allowed, filters.get("k", 1) if filters.get("center") else None))
+    return node_columns(kept), induced(edges, kept)
 
 
 def get_edges(edges: DataFrame, slug: str, k: int = 1, limit: int | None = None) -> DataFrame:

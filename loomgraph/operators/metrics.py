@@ -17,12 +17,16 @@ def rounded(x: Column, digits: int = 2) -> Column:
     return F.floor(x * scale + 0.5) / scale
 
 
+def type_place(kind: Column) -> Column:
+    """Place of a type: known ones in their order, then all others."""
+    place = F.array_position(F.array(*[F.lit(t) for t in KNOWN_TYPES]), kind)
+    return F.when(place > 0, place).otherwise(len(KNOWN_TYPES) + 1)
+
+
 def type_counts(nodes: DataFrame) -> DataFrame:
     """(type, n, place): known types in their order, then the others by name."""
-    known = F.array(*[F.lit(t) for t in KNOWN_TYPES])
-    place = F.array_position(known, F.col("type"))
     per = nodes.groupBy("type").agg(F.count("*").alias("n"))
-    return per.withColumn("place", F.when(place > 0, place).otherwise(len(KNOWN_TYPES) + 1)).orderBy("place", "type")
+    return per.withColumn("place", type_place(F.col("type"))).orderBy("place", "type")
 
 
 def degree_stats(table: DataFrame) -> DataFrame:
@@ -77,7 +81,7 @@ def source_coverage(nodes: DataFrame) -> DataFrame:
 def duplicate_clusters(nodes: DataFrame) -> DataFrame:
     """(sources, n, first_slug, last_slug): sets of sources that two pages or more share entirely. Members are counted, not gathered."""
     rows = nodes.where(F.size("sources") > 0).select("slug", F.array_sort("sources").alias("sources"))
-    return rows.groupBy("sources").agg(F.count("*").alias("n"), F.min("slug").alias("first_slug"), F.max("slug").alias("last_slug")).where("n >= 2")
+    return rows.groupBy("sources").agg(F.count("*").alias("n"), F.min("slug").alias("first_slug"), F.max("slug").alias("last_slug")).where("n >= 2").orderBy(F.desc("n"), "first_slug")
 
 
 def cluster_members(nodes: DataFrame) -> DataFrame:
@@ -87,21 +91,25 @@ def cluster_members(nodes: DataFrame) -> DataFrame:
 
 
 def over_extracted(nodes: DataFrame, least: int = 3) -> DataFrame:
-    return source_index(nodes).where(F.col("n") >= least)
+    """Sources that at least so many pages cite, most first."""
+    return P.ranked(source_index(nodes).where(F.col("n") >= least), "n")
 
 
 def type_matrix(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(source_type, target_type, n, ratio): edges between types, zeros included; ratio is the share of the row. Types are few."""
+    """(source_type, target_type, n, ratio): edges between types; ratio is the share of the row.
+
+    Cells without an edge are there for the known types alone; other types are open-ended, so only their cells with edges are listed.
+    """
     kinds = nodes.select("slug", "type")
     # counted per (source, type of target) first, so the second join sees one row per such pair
     half = lookup_join(edges.select("source", "target"), kinds.select(F.col("slug").alias("target"), F.col("type").alias("target_type")), "target", "inner")
     half = half.groupBy("source", "target_type").agg(F.count("*").alias("n"))
     full = half.join(kinds.select(F.col("slug").alias("source"), F.col("type").alias("source_type")), "source")
-    cells = full.groupBy("source_type", "target_type").agg(F.sum("n").alias("n"))
-    axis = nodes.agg(F.collect_set("type").alias("t")).select(F.explode("t").alias("source_type"), "t").select("source_type", F.explode("t").alias("target_type"))
+    known = local(nodes.sparkSession, [(a, b, 0) for a in KNOWN_TYPES for b in KNOWN_TYPES], "source_type string, target_type string, n bigint")
+    cells = full.select("source_type", "target_type", "n").unionByName(known).groupBy("source_type", "target_type").agg(F.sum("n").alias("n"))
     row = F.sum("n").over(Window.partitionBy("source_type"))
-    dense = axis.join(cells, ["source_type", "target_type"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    return dense.withColumn("ratio", F.when(row > 0, rounded(F.col("n") / row, 3)).otherwise(F.lit(0.0)))
+    dense = cells.withColumn("ratio", F.when(row > 0, rounded(F.col("n") / row, 3)).otherwise(F.lit(0.0)))
+    return dense.orderBy(type_place(F.col("source_type")), "source_type", type_place(F.col("target_type")), "target_type")
 
 
 def type_balance(nodes: DataFrame) -> DataFrame:

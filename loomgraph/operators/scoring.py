@@ -12,6 +12,7 @@ from loomgraph.functions.dates import real_date
 from loomgraph.operators import graph
 from loomgraph.operators import pages as P
 from loomgraph.operators.metrics import rounded
+from loomgraph.runtime import local
 from loomgraph.schema import HIDDEN_TAG, THEME_PURCHASE, Tuning
 
 
@@ -29,7 +30,9 @@ def pressure(pages: DataFrame, overdue_count: int, today: str, since: str | None
 
     Without `since` all pages are new. The score is the sum of the contributions.
     """
-    own = pages.where((F.col("type") != "dream") & ~F.col("slug").isin(touched or []))
+    own = pages.where(F.col("type") != "dream")
+    if touched:
+        own = own.join(F.broadcast(local(pages.sparkSession, [(t,) for t in touched], "slug string")), "slug", "left_anti")
     fresh = F.col("created") > since if since else F.lit(True)
     changed = (F.col("updated") > since) & ~fresh if since else F.lit(False)
     per = own.agg(F.count_if(fresh).alias("new"), F.count_if(changed).alias("updated"), F.count_if(is_hypothesis()).alias("hypotheses"))
@@ -69,6 +72,11 @@ def salience(pages: DataFrame, edges: DataFrame, used: DataFrame, overdue: DataF
     return raw.join(F.broadcast(most), F.lit(True)).select(*raw.columns, rounded(score).alias("score"))
 
 
+def by_score(entries: DataFrame) -> DataFrame:
+    """salience() in its order: highest score first, ties by slug."""
+    return entries.orderBy(F.desc("score"), "slug")
+
+
 def forgettability(entries: DataFrame, tuning: Tuning = Tuning()) -> DataFrame:
     """salience() rows with forget_score: unread, unneeded, stale, and by stage. The maxima are over all rows given."""
     most = entries.agg(*[F.greatest(F.lit(1), F.coalesce(F.max(c), F.lit(0))).alias(f"m_{c}") for c in ("n_in", "overdue_days")])

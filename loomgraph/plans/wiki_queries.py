@@ -118,8 +118,8 @@ QUERIES = {
     "type_empty": lambda s, d: metrics.empty_types(_nodes(s, d)),
     "type_dominant": lambda s, d: metrics.type_balance(_nodes(s, d)).limit(1),
     "freshness_all": lambda s, d: freshness.schedule(_nodes(s, d), TODAY).select("slug", "bucket", "clock", "interval_days", "next_due", "overdue_days"),
-    "freshness_due": lambda s, d: freshness.overdue(_nodes(s, d), TODAY),
-    "freshness_upcoming": lambda s, d: freshness.schedule(_nodes(s, d), TODAY).where("bucket = 'upcoming'").select("slug", "next_due"),
+    "freshness_due": lambda s, d: freshness.due_first(freshness.schedule(_nodes(s, d), TODAY)).select("slug", "overdue_days"),
+    "freshness_upcoming": lambda s, d: freshness.soon_first(freshness.schedule(_nodes(s, d), TODAY)).select("slug", "next_due"),
     "freshness_skipped": lambda s, d: _overdue_sum(freshness.schedule(_nodes(s, d), TODAY)),
     "freshness_neglect": lambda s, d: _overdue_sum(freshness.schedule(_nodes(s, d), TODAY, ignore_updated=True)),
     "purge_candidates": lambda s, d: freshness.purge_candidates(_nodes(s, d), "2024-06-01"),
@@ -133,7 +133,7 @@ QUERIES = {
     "usage_exclude_actor": lambda s, d: usage.counts(_events(s, d, exclude_actor="dream")).select("slug", "total"),
     "usage_daily": lambda s, d: daily(_log(s, d)).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "slug", "reads", "writes"),
     "pressure": _pressure,
-    "salience": lambda s, d: _salience(s, d).select("slug", "score", "used", "n_in", "overdue_days"),
+    "salience": lambda s, d: scoring.by_score(_salience(s, d)).select("slug", "score", "used", "n_in", "overdue_days"),
     "forgettability": lambda s, d: scoring.forgettability(_salience(s, d)).select("slug", "forget_score"),
     "forget_candidates": lambda s, d: scoring.forget_candidates(_salience(s, d)).select("slug", "forget_score"),
     "threads": lambda s, d: scoring.threads(_nodes(s, d)),
@@ -275,8 +275,8 @@ SQL = {
     "source_over_extracted": _BASE + "SELECT v AS source, count(*) AS n FROM srcs GROUP BY 1 HAVING count(*) >= 3",
     "source_coverage": _BASE + "SELECT (SELECT count(DISTINCT slug) FROM srcs) AS with_sources, (SELECT count(*) FROM nodes) - (SELECT count(DISTINCT slug) FROM srcs) AS without_sources, (SELECT count(DISTINCT v) FROM srcs) AS unique_sources",
     "type_matrix": _BASE
-    + """, c AS (SELECT a.type AS source_type, b.type AS target_type, count(*) AS n FROM et JOIN nodes a ON a.slug = source JOIN nodes b ON b.slug = target GROUP BY 1, 2),
-ax AS (SELECT DISTINCT type FROM nodes), dn AS (SELECT x.type AS source_type, y.type AS target_type, coalesce(n, 0) AS n FROM ax x CROSS JOIN ax y LEFT JOIN c ON c.source_type = x.type AND c.target_type = y.type)
+    + f""", c AS (SELECT a.type AS source_type, b.type AS target_type, count(*) AS n FROM et JOIN nodes a ON a.slug = source JOIN nodes b ON b.slug = target GROUP BY 1, 2),
+kn AS (SELECT unnest({_KNOWN}) AS t), dn AS (SELECT coalesce(c.source_type, x.t) AS source_type, coalesce(c.target_type, y.t) AS target_type, coalesce(n, 0) AS n FROM kn x CROSS JOIN kn y FULL JOIN c ON c.source_type = x.t AND c.target_type = y.t)
 SELECT source_type, target_type, n, CASE WHEN sum(n) OVER (PARTITION BY source_type) > 0 THEN floor(n / sum(n) OVER (PARTITION BY source_type) * 1000 + 0.5) / 1000 ELSE 0.0::DOUBLE END AS ratio FROM dn""",
     "type_balance": _BASE + "SELECT type, count(*) AS n, floor(count(*) / (SELECT count(*) FROM nodes) * 1000 + 0.5) / 1000 AS ratio FROM nodes GROUP BY 1",
     "type_empty": _BASE + f"SELECT t AS type FROM (SELECT unnest({_KNOWN}) AS t) ANTI JOIN nodes ON t = nodes.type",

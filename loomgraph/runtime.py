@@ -78,6 +78,17 @@ def release(df: DataFrame) -> None:
         fs.delete(jpath, True)
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder of any file system Spark can use; none where there is no such folder."""
+    jpath, fs = _path(spark, path)
+    return [f.getPath().getName() for f in fs.listStatus(jpath)] if fs.exists(jpath) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    jpath, fs = _path(spark, path)
+    fs.delete(jpath, True)
+
+
 def local(spark: SparkSession, rows: list[tuple], schema: str | T.StructType) -> DataFrame:
     """A few rows of the driver as a table that is planned and read without a Python worker."""
     kind = T._parse_datatype_string(schema) if isinstance(schema, str) else schema

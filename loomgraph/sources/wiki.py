@@ -111,11 +111,6 @@ def scan(spark: SparkSession, root: str, kept: DataFrame | None = None, files_pe
     return with_ord(old.unionByName(parse_files(new)), listing)
 
 
-def source_files(root: str, kinds=(".md", ".txt", ".html", ".htm", ".mmd", ".rmd"), skip=("README.md", "LICENSE", "LICENSE.md")) -> list[str]:
-    """Files of a directory that may be taken in as sources."""
-    return sorted(p for p in walk(root, lambda f: f.lower().endswith(tuple(kinds)) and f not in skip))
-
-
 def leftovers(root: str) -> list[str]:
     """Temporary files of writes that never ended."""
     return sorted(walk(root, lambda f: ".tmp-" in f))

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions.dates import instant
 from loomgraph.operators import features
+from loomgraph.runtime import children, cut, release, remove
 from loomgraph.schema import RETENTION_DAYS
 from loomgraph.sources.tables import WRITE_OPS, event_slugs, is_event
 from loomgraph.sources.usage_log import _file_day, parse_lines
@@ -33,31 +32,58 @@ def daily(log: DataFrame, late: str = f"{RETENTION_DAYS} days") -> DataFrame:
 
 
 class FeatureTable:
-    """The per-entity feature state under a folder, advanced by foreachBatch: every batch is deltas added to the newest version.
+    """The per-entity feature state under a folder, advanced by foreachBatch: every batch is signed deltas added to the newest version.
 
-    A row delivered again, in one batch or in a later one, is never inserted, so nothing has to be retracted: the rows inserted
-    so far are kept beside the versions, in `rows`. Both are written whole and named by batch, so a batch run again after a failure writes the same.
+    Every delivery is inserted, and a row delivered again, in one batch or in a later one, is retracted: `rows` holds the distinct rows so far. Maxima are recomputed only where a retraction reaches the latest event. Versions are written whole and named by batch, so a batch run again after a failure
+    writes the same; of the versions the last KEEP are kept. The folder may be on any file system that Spark can use.
     """
 
+    KEEP = 3
+
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+        self.spark, self.folder = spark, folder.rstrip("/")
 
-    def _found(self, before: int | None) -> list[int]:
-        found = sorted(int(n) for n in os.listdir(self.folder) if n.isdigit()) if os.path.isdir(self.folder) else []
-        return [n for n in found if (before is None or n < before) and os.path.exists(f"{self.folder}/{n}/_SUCCESS")]
+    def _found(self, before: int | None = None) -> list[int]:
+        """Batches whose version is complete, oldest first."""
+        found = sorted(int(n) for n in children(self.spark, self.folder) if n.isdigit())
+        return [n for n in found if (before is None or n < before) and "_SUCCESS" in children(self.spark, f"{self.folder}/{n}")]
+
+    def latest(self) -> int:
+        return max(self._found(), default=-1)
 
     def version(self, before: int | None = None) -> DataFrame | None:
         found = self._found(before)
-        return self.spark.read.parquet(f"{self.folder}/{found[-1]}") if found else None
+        return self.spark.read.schema(features.STATE).parquet(f"{self.folder}/{found[-1]}") if found else None
+
+    def _seen(self, before: int, schema) -> DataFrame:
+        paths = [f"{self.folder}/rows/{n}" for n in children(self.spark, f"{self.folder}/rows") if n.isdigit() and int(n) < before]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def advance(self, batch: DataFrame, batch_id: int) -> None:
-        rows, path = batch.select(*features.logged(batch)), f"{self.folder}/rows/{batch_id}"
-        seen = [f"{self.folder}/rows/{n}" for n in self._found(batch_id)]
-        fresh = rows.subtract(self.spark.read.parquet(*seen).select(*rows.columns)) if seen else rows.distinct()
-        fresh.write.mode("overwrite").parquet(path)
+        """Add a batch of log rows as version batch_id."""
+        rows = batch.select(*features.logged(batch))
+        seen, path = self._seen(batch_id, rows.schema), f"{self.folder}/rows/{batch_id}"
+        counted = rows.groupBy(*rows.columns).agg(F.count("*").alias("copies"))
+        counted = counted.withColumn("__print", features.print_of(counted))
+        old = seen.select(features.print_of(seen).alias("__old"), *[F.col(c).alias(f"__{c}") for c in rows.columns], F.lit(1).alias("again"))
+        same = [F.col("__print") == F.col("__old"), *[F.col(c).eqNullSafe(F.col(f"__{c}")) for c in rows.columns]]
+        marked = counted.join(old, same, "left").select(*rows.columns, "copies", F.coalesce("again", F.lit(0)).alias("again"))
+        marked = cut(marked, "batch")
+        marked.where("again = 0").select(*rows.columns).write.mode("overwrite").parquet(path)
         fresh = self.spark.read.schema(rows.schema).parquet(path)
-        state = features.apply_deltas(self.version(before=batch_id), features.deltas(features.keyed(fresh), 1), None)
-        state.write.mode("overwrite").parquet(f"{self.folder}/{batch_id}")
+        extra = marked.withColumn("surplus", F.col("copies") - 1 + F.col("again")).where("surplus > 0").drop("copies", "again")
+        deltas = features.deltas(features.keyed(marked, ["copies"]), F.col("copies"))
+        state = features.apply_deltas(self.version(before=batch_id), deltas, None)
+        back = features.deltas(features.keyed(extra, ["surplus"]), -F.col("surplus"))
+
+        def remaining(touched: DataFrame) -> DataFrame:
+            # every distinct row once, those of this batch too; only those of touched keys are looked at
+            return features.of_keys(features.keyed(seen.unionByName(fresh)), touched)
+
+        features.apply_deltas(state, back, remaining).write.mode("overwrite").parquet(f"{self.folder}/{batch_id}")
+        release(marked)
+        for n in self._found(batch_id)[: -self.KEEP + 1]:
+            remove(self.spark, f"{self.folder}/{n}")
 
     def start(self, log: DataFrame, checkpoint: str):
         return log.writeStream.foreachBatch(self.advance).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

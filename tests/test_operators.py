@@ -88,6 +88,31 @@ def test_walks_and_limits(spark):
     assert err.value.code == Code.RESULT_TOO_LARGE and err.value.suggestions["types"] == [("concept", 5)]
 
 
+@pytest.mark.parametrize("most", [0, 100_000])
+def test_frontiers_of_any_size(spark, monkeypatch, most):
+    monkeypatch.setattr(graph, "MAX_BROADCAST_FRONT", most)
+    e = edges(spark, *[("hub", f"n{i}") for i in range(50)], *[(f"n{i}", f"m{i % 7}") for i in range(50)], ("m0", "end"))
+    depth = {r.slug: r.depth for r in graph.neighbourhood(e, "hub", 3).collect()}
+    assert depth == {"hub": 0, "end": 3, **{f"n{i}": 1 for i in range(50)}, **{f"m{i}": 2 for i in range(7)}}
+    assert graph.tree_edges(e, "hub", 3).count() == 58 and graph.tree_edges(e, "hub", 5).count() == 58
+
+
+def test_suggestions_of_a_refusal(spark):
+    n, e = names(spark, "a b c d x"), edges(spark, ("a", "b"), ("b", "c"))
+    with pytest.raises(ResultTooLarge) as err:
+        graph.read_graph(n, e, limit=1, center="a", k=2)
+    assert err.value.suggestions["reduce_k"] == 1 and err.value.suggestions["increase_limit"] == 3
+    assert set(graph.node_columns(n).columns) & {"content", "wikilink_targets"} == set() and "content" in graph.page_columns(n).columns
+
+
+def test_places_hold_long_arrays(spark):
+    """A page of more links than any packed number had room for comes before the next page."""
+    n = frame(spark, page("a", 1, wikilink_targets=["x"] * 100_001 + ["b"], related=[("b", None)] * 3), page("b", 2, wikilink_targets=["a"], tags=["t"] * 3), page("c", 3, tags=["u"] * 3), page("a0", 0, tags=["v"] * 1500 + ["t2"]))
+    (row,) = graph.build(n).where("source = 'a'").collect()
+    assert row.origins == ["wikilink", "related"] and (row.ord["ord"], row.ord["kind"], row.ord["pos"]) == (1, 0, 100_001)
+    assert [r.value for r in P.ranked(P.value_counts(n.where("slug <> 'a'"), "tags"), "n").collect()] == ["v", "t", "u", "t2"]
+
+
 def test_build_merges_carriers(spark):
     n = frame(spark, page("a", 1, wikilink_targets=["b", "nobody"], related=[("b", "causes"), ("B", "is_a"), ("[[c]]", " Explains "), (None, None)]), page("b", 2, related=[("a", None)]), page("c", 3))
     got = {(r.source, r.target): (r.origins, r.relation) for r in graph.build(n).collect()}

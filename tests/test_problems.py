@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions.canonical import with_canonical, with_canonical_array
 from loomgraph.functions.dates import instant, real_date, utc_date, utc_text
 from loomgraph.operators import bloom, chunks, features, orphans, rolling, skew
-from loomgraph.plans import core_problems, wiki_queries
+from loomgraph.plans import core_problems, edit_queries, wiki_queries
 from tests.oracle import compare
 
 SF = "/root/testdata/sf0.001"
@@ -28,6 +28,11 @@ def test_wiki_query_equals_sql(spark, name):
     assert compare(spark, SF, name) == ""
 
 
+@pytest.mark.parametrize("name", sorted(edit_queries.SQL))
+def test_edit_query_equals_sql(spark, name):
+    assert compare(spark, SF, name) == ""
+
+
 def test_changed_files_come_in_all_three_kinds(spark):
     got = wiki_queries.QUERIES["scan_changed_both_ways"](spark, SF.replace("0.001", "0.01"))
     assert {r.change for r in got.select("change").distinct().collect()} == {"added", "gone", "changed"}
@@ -169,7 +174,11 @@ def brute_features(rows):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_features_equal_brute_force(spark, seed):
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_features_equal_brute_force(spark, seed, broadcast, monkeypatch):
+    if not broadcast:
+        monkeypatch.setattr(features, "MAX_BROADCAST_KEYS", -1)
+        monkeypatch.setattr(features, "MAX_BROADCAST_PRINTS", -1)
     rows = log_rows(seed)
     state = features.features(spark.createDataFrame(rows, LOG))
     got = {(r.slug, r.event_type): (r.n, r.t) for r in state.withColumn("t", utc_text(F.timestamp_millis("last_ms"))).collect()}
@@ -197,8 +206,10 @@ def test_features_retract_and_recompute(spark):
     assert none.count() == 0 and features.features(every.where("false")).count() == 0
 
 
-@pytest.mark.parametrize("rows_per_chunk", [1, 7, 10**6, None])
-def test_chunks(spark, rows_per_chunk):
+@pytest.mark.parametrize("rows_per_chunk,broadcast", [(1, True), (7, True), (7, False), (10**6, True), (None, True)])
+def test_chunks(spark, rows_per_chunk, broadcast, monkeypatch):
+    if not broadcast:
+        monkeypatch.setattr(chunks, "MAX_BROADCAST_ROWS", -1)
     rows = [("hot", i, "x") for i in range(3000)] + [(f"k{i % 50}", i, "y") for i in range(200)] + [(None, 1, "z")]
     df = spark.createDataFrame(rows, "key string, i int, chunk string").repartition(5)
     got = {r.key: r.n for r in chunks.chunked_counts(df, "key", rows_per_chunk).collect()}
