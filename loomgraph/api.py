@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 import os
 import time
 from collections import OrderedDict
@@ -85,6 +86,17 @@ class WikiGraph:
             self._edges = None
         self._checked = time.monotonic()
 
+    def refresh_paths(self, paths: list[str]) -> None:
+        """After an edit of these files alone: they are read again, no other file is even looked at."""
+        old = self._pages
+        if old is None or not self.root:
+            return
+        self._pages = cut(wiki.rescan(old, self.root, paths), "pages")
+        release(old)
+        if self._edges is not None:
+            self._edges.unpersist()
+            self._edges = None
+
     def release(self) -> None:
         if self._edges is not None:
             self._edges.unpersist()
@@ -153,6 +165,14 @@ class WikiGraph:
         used = usage.counts(usage.events(self.usage_log(day, 30), exclude_actor="dream"))
         return scoring.salience(self.pages(), self.edges(), used, freshness.overdue(self.pages(), day, ignore_updated=True), day)
 
+    def pressure(self, since: str | None = None, touched: list[str] | None = None, day: str | None = None) -> DataFrame:
+        """What has gathered since the last session, whose own edits (touched) don't count; by default since the journal's newest entry."""
+        day = day or today()
+        if since is None and self.state and (last := usage_log.last_entry(self.spark, os.path.join(self.state, "journal.jsonl"))):
+            entry = json.loads(last)
+            since, touched = entry.get("date"), touched or entry.get("touched_slugs")
+        return scoring.pressure(self.pages(), freshness.overdue(self.pages(), day).count(), day, since, touched)
+
     # writes: a plan, then its commit
 
     def _change(self, row, **changes) -> commit.Change:
@@ -205,7 +225,7 @@ class WikiGraph:
         if self.logger:
             self.logger.flush()
         if touched and not dry_run:
-            self.refresh()
+            self.refresh_paths(touched)
         return touched
 
     def _at(self, path: str) -> str:

@@ -60,7 +60,7 @@ def _stream(s: SparkSession, d: str) -> DataFrame:
 
 
 def _scratch(s: SparkSession) -> str:
-    return f"{shared_dir(s)}/loomgraph/{uuid.uuid4().hex}-stream"
+    return f"{shared_dir(s)}/loomgraph/{s.sparkContext.applicationId}/{uuid.uuid4().hex}-stream"
 
 
 def _stream_daily(s: SparkSession, d: str) -> DataFrame:

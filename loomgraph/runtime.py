@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import time
 import uuid
+import zipfile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -27,7 +30,25 @@ def session(master: str = "local[8]", partitions: int = 8, **conf: str) -> Spark
     builder = SparkSession.builder.master(master).appName("loomgraph")
     for key, value in {**SETTINGS, "spark.sql.shuffle.partitions": str(partitions), **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the package to the Python workers of a session, wherever it was started from. Once per session; an installed package needs it not."""
+    home = os.path.dirname(os.path.abspath(__file__))
+    if getattr(spark.sparkContext, "_loomgraph_shipped", None) == home:
+        return
+    folder = tempfile.mkdtemp(prefix="loomgraph-code-")  # on the driver alone; Spark hands the archive on
+    path = os.path.join(folder, "loomgraph.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for base, dirs, files in os.walk(home):
+            dirs[:] = [d for d in dirs if d != "__pycache__"]
+            for f in files:
+                z.write(os.path.join(base, f), os.path.join("loomgraph", os.path.relpath(os.path.join(base, f), home)))
+    spark.sparkContext.addPyFile(path)
+    spark.sparkContext._loomgraph_shipped = home
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -59,7 +80,7 @@ def cut(df: DataFrame, tag: str, watch: Observation | None = None, *figures, by:
     The table outlives lost executors. It is removed by release(), or when the driver's JVM ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/loomgraph/{uuid.uuid4().hex}-{tag}"
+    path = f"{shared_dir(spark)}/loomgraph/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}-{tag}"
     out = df.observe(watch, *figures) if watch is not None else df
     writer = out.write.option("compression", "zstd")
     (writer.partitionBy(by) if by else writer).parquet(path)
@@ -96,5 +117,17 @@ def local(spark: SparkSession, rows: list[tuple], schema: str | T.StructType) ->
     return spark.createDataFrame(pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(arrow)], schema=arrow), kind)
 
 
+def sweep(spark: SparkSession, hours: float = 48.0) -> list[str]:
+    """Remove what sessions that broke off left in the shared folder: tables of other applications not touched for so many hours. Their application ids."""
+    base, gone = f"{shared_dir(spark)}/loomgraph", []
+    for name in children(spark, base):
+        jpath, fs = _path(spark, f"{base}/{name}")
+        idle = time.time() - fs.getFileStatus(jpath).getModificationTime() / 1000
+        if name != spark.sparkContext.applicationId and idle > hours * 3600:
+            fs.delete(jpath, True)
+            gone.append(name)
+    return gone
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

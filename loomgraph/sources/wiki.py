@@ -13,6 +13,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from loomgraph.functions import frontmatter
 from loomgraph.functions.text import extract_wikilinks, normalize_slug
+from loomgraph.operators.numbering import in_order
+from loomgraph.runtime import local
 from loomgraph.schema import COMPRESSION_STAGES, DIR_TYPES, INFRA_FILES, Code, GraphError
 
 LISTING = "abs_path string, path string, mtime double, size bigint"
@@ -111,6 +113,20 @@ def scan(spark: SparkSession, root: str, kept: DataFrame | None = None, files_pe
     return with_ord(old.unionByName(parse_files(new)), listing)
 
 
+def rescan(kept: DataFrame, root: str, paths: list[str]) -> DataFrame:
+    """An earlier scan with only these files read again or gone; ord is the place in the order of abs_path, counted anew."""
+    spark, there = kept.sparkSession, []
+    for p in dict.fromkeys(paths):
+        inside = os.path.relpath(p, root).replace(os.sep, "/")
+        if p.endswith(".md") and inside.startswith("wiki/") and os.path.basename(p) not in INFRA_FILES and os.path.exists(p):
+            st = os.stat(p)
+            there.append((p, inside, st.st_mtime, st.st_size))
+    touched = local(spark, [(p,) for p in dict.fromkeys(paths)], "abs_path string")
+    same = kept.drop("ord").join(F.broadcast(touched), "abs_path", "left_anti")
+    rows = same.unionByName(parse_files(local(spark, there, LISTING)).select(*same.columns))
+    return in_order(rows, ["abs_path"], "ord")
+
+
 def leftovers(root: str) -> list[str]:
     """Temporary files of writes that never ended."""
     return sorted(walk(root, lambda f: ".tmp-" in f))
