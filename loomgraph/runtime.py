@@ -62,9 +62,8 @@ def shared_dir(spark: SparkSession) -> str:
         return base.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    base = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
-    spark.conf.set("spark.checkpoint.dir", base)
-    return base
+    spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="loomgraph-"))
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
 def _path(spark: SparkSession, path: str):

@@ -172,15 +172,11 @@ def test_edges_of_no_pages(spark):
     assert graph.components(frame(spark), edges(spark)).count() == 0
 
 
-def test_shared_folder_is_swept(spark, tmp_path):
-    old = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
-    try:
-        mine = runtime.cut(spark.range(3), "x")
-        spark.range(2).write.parquet(f"file://{tmp_path}/loomgraph/app-dead/1-x")
-        assert runtime.sweep(spark) == [] and runtime.sweep(spark, -1) == ["app-dead"] and mine.count() == 3
-    finally:
-        spark.conf.set("spark.checkpoint.dir", old) if old else spark.conf.unset("spark.checkpoint.dir")
+def test_shared_folder_is_swept(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(runtime, "shared_dir", lambda _: f"file://{tmp_path}")
+    mine = runtime.cut(spark.range(3), "x")
+    spark.range(2).write.parquet(f"file://{tmp_path}/loomgraph/app-dead/1-x")
+    assert runtime.sweep(spark) == [] and runtime.sweep(spark, -1) == ["app-dead"] and mine.count() == 3
 
 
 def test_workers_find_the_package(tmp_path):
