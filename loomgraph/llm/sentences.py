@@ -22,15 +22,16 @@ QUOTES = set("“„«「『\"")
 BRACKETS = set("(（[【")
 CLOSERS = "”“\"»」』）)\\]】›’"
 TAIL = regex.compile(rf"(?:\[\^?\d{{1,3}}\]|[¹²³⁰⁴-⁹]+|[{CLOSERS}]|[   ]?»|[*_]{{1,3}}(?=\s|$)|[{regex.escape(ENDS)}])*")
+#: What a tail can begin with, besides a blank before ».
+TAIL_FIRST = set("[¹²³⁰⁴⁵⁶⁷⁸⁹”“\"»」』）)]】›’*_" + ENDS)
 #: After a quotation or bracket only what surely closes it.
 TAIL_AFTER_CLOSE = regex.compile(r"(?:\[\^?\d{1,3}\]|[¹²³⁰⁴-⁹]+|[”»」』）)】›’]|[  ]?»|[*_]{1,3}(?=\s|$))*")
 TOKEN = regex.compile(
     rf"(?P<skip>\[\[[^\]\n]*\]\]|`[^`\n]*`)|(?P<open>[“„«「『（(《〈\[【‹\"])|(?P<end>[{regex.escape(ENDS)}]+)|(?P<thai>(?<=\p{{Thai}}[”\"»)]?)\s+|\s+(?=[“\"«(]?\p{{Thai}}))"
 )
 MARKS = regex.compile(r"[“”„«»「」『』（）()《》〈〉【】‹›\"\[\]]")
-HEADING = regex.compile(r"\s{0,3}#{1,6}(?:\s|$)")
-ITEM = regex.compile(r"\s*[-*+•·‣]\s+\S")
-NUMBERED = regex.compile(r"\s*\(?\d{1,3}[.)]\s+\S")
+#: What a line that is a block of its own begins with, by kind; a numbered item only begins a block or follows an item.
+LINES = regex.compile(r"(?P<heading>\s{0,3}#{1,6}(?:\s|$))|(?P<item>\s*[-*+•·‣]\s+\S)|(?P<numbered>\s*\(?\d{1,3}[.)]\s+\S)")
 
 
 class Rule(NamedTuple):
@@ -223,7 +224,8 @@ def _paragraph(text: str, lo: int, hi: int, rules: tuple) -> Iterator[tuple[int,
             continue
         elif kind == "end":
             marks = m.end()
-            stop = TAIL.match(text, marks, hi).end()
+            c = text[marks : min(marks + 1, hi)]
+            stop = TAIL.match(text, marks, hi).end() if c in TAIL_FIRST or c.isspace() and text[marks + 1 : marks + 2] == "»" else marks
             # a straight quotation mark opens rather than closes where its partner is still to come
             k = text.find('"', marks, stop)
             if k >= 0 and k in closed:
@@ -262,7 +264,8 @@ def sentences(text: str | None, lang: str | None = None) -> list[tuple[int, int]
         stop = text.find("\n", at)
         stop = n if stop < 0 else stop
         line = text[at:stop]
-        alone = bool(HEADING.match(line) or ITEM.match(line) or (fresh or listed) and NUMBERED.match(line))
+        kind = m.lastgroup if (m := LINES.match(line)) else None
+        alone = kind is not None and (kind != "numbered" or fresh or listed)
         if alone or not line.strip():
             if para is not None:
                 out += _paragraph(text, para, at, rules)
@@ -270,7 +273,7 @@ def sentences(text: str | None, lang: str | None = None) -> list[tuple[int, int]
             if alone:
                 lead = len(line) - len(line.lstrip())
                 out.append((at + lead, at + len(line.rstrip())))
-            listed, fresh = alone and not HEADING.match(line), True
+            listed, fresh = alone and kind != "heading", True
         else:
             if para is None:
                 para = at
