@@ -9,6 +9,7 @@ texts pass through that in two tiers: those that alone would shift its share fir
 
 from __future__ import annotations
 
+import os
 import random
 from collections.abc import Iterator
 
@@ -30,13 +31,14 @@ _ENCODERS: dict = {}
 
 
 def encoder(path: str = TOKENIZER):
-    """The tokenizer of a rank file, read once per worker."""
+    """The tokenizer of a rank file, read once per worker; where the path is not there, the copy that came with the job."""
     if path not in _ENCODERS:
         import base64
 
         import tiktoken
+        from pyspark import SparkFiles
 
-        with open(path, "rb") as f:
+        with open(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         _ENCODERS[path] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     return _ENCODERS[path]
@@ -45,6 +47,8 @@ def encoder(path: str = TOKENIZER):
 def token_counts(documents: DataFrame, path: str = TOKENIZER) -> DataFrame:
     """(doc_id, source, tokens): canonical source, tokens of the whole text; null text has none, a null or blank source is null."""
     rows = with_canonical(documents.select("doc_id", "text", "source"), "source", F.col("source"), source=True)
+    if os.path.exists(path):
+        documents.sparkSession.sparkContext.addFile(path)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(path)
@@ -152,7 +156,8 @@ def pivotal_round(rows: DataFrame, seed: int = 0) -> DataFrame:
         now = level.where("p > 0 AND p < 1").withColumn("bucket", F.floor(F.col("bucket") / FAN_IN))
 
 
-def _targets(targets: DataFrame) -> DataFrame:
+def normal_targets(targets: DataFrame) -> DataFrame:
+    """(source, target_share, max_repeats) with canonical sources; shares of one source add up, its highest cap holds."""
     rows = with_canonical(targets, "source", F.col("source"), source=True).where(F.col("source").isNotNull())
     return rows.groupBy("source").agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").cast("bigint").alias("max_repeats"))
 
@@ -164,7 +169,7 @@ def mix(counted: DataFrame, targets: DataFrame, total: int | None = None, seed:
     targets is a configuration of some sources; it and some totals per wanted source come to the driver. Rows of one doc_id are texts of their own.
     """
     counted = cut(counted, "tokens") if not hasattr(counted, "loom_path") else counted
-    wanted = {r.source: (r.target_share, r.max_repeats) for r in _targets(targets).collect()}
+    wanted = {r.source: (r.target_share, r.max_repeats) for r in normal_targets(targets).collect()}
     named = counted.where(F.col("source").isin(list(wanted)) & (F.col("tokens") > 0))
     stats = {r.source: (r.n, r.k) for r in named.groupBy("source").agg(F.sum("tokens").alias("n"), F.count("*").alias("k")).collect()}
     _, copies = plan({s: n for s, (n, _) in stats.items()}, wanted, total)
@@ -200,7 +205,7 @@ def shares(mixed: DataFrame, counted: DataFrame, targets: DataFrame) -> DataFram
     there = counted.groupBy("source").agg(F.sum("tokens").alias("tokens_available"))
     taken = mixed.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens_mixed"), F.max("copies").alias("most_copies"))
     total = taken.agg(F.sum("tokens_mixed")).first()[0] or 0
-    rows = _targets(targets).join(there, "source", "left").join(taken, "source", "left")
+    rows = normal_targets(targets).join(there, "source", "left").join(taken, "source", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
     mixed_tokens = zero(F.col("tokens_mixed"))
     return rows.select(

@@ -8,6 +8,7 @@ that crosses a partition's end leaves one partial count on either side, and thes
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -87,5 +88,6 @@ def term_frequencies(pairs: DataFrame) -> DataFrame:
 
 def marked(freq: DataFrame, records: int) -> DataFrame:
     """Adds `mark`: `rare` (RARE_PAGES records or fewer), `common` (more than COMMON_SHARE of all records), else null."""
-    common = F.col("n_records") * int(1 / COMMON_SHARE) > records
+    share = Fraction(str(COMMON_SHARE))
+    common = F.col("n_records") * share.denominator > records * share.numerator
     return freq.withColumn("mark", F.when(F.col("n_records") <= RARE_PAGES, "rare").when(common, "common"))

@@ -2,11 +2,13 @@
 
 import random
 import unicodedata
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.llm import components, leakage, mixing, queries, sentences, setjoin, terms
+from loomgraph.operators import skew
 from tests.oracle import compare
 
 SF = "/root/testdata/sf0.001"
@@ -31,6 +33,12 @@ def test_terms_handle_nulls_repeats_and_hot_terms(spark):
     assert got == {("tags", "a"): (3, 2), ("tags", "b"): (1, 1), ("tags", "hot"): (1500, 500), ("type", "t"): (501, 501)}
     marks = {r.term: r.mark for r in terms.marked(spark.createDataFrame([("f", "x", 1, 2), ("f", "y", 1, 11), ("f", "z", 1, 10)], "field string, term string, n bigint, n_records bigint"), 100).collect()}
     assert marks == {"x": "rare", "y": "common", "z": None}
+    terms.COMMON_SHARE, old = 0.15, terms.COMMON_SHARE
+    try:
+        rows = spark.createDataFrame([("f", str(n), 1, n) for n in (14, 15, 16)], "field string, term string, n bigint, n_records bigint")
+        assert [r.mark for r in terms.marked(rows, 100).orderBy("term").collect()] == [None, None, "common"]
+    finally:
+        terms.COMMON_SHARE = old
 
 
 def test_terms_count_a_record_once_over_many_partitions(spark):
@@ -102,6 +110,39 @@ def test_similar_pairs_equal_brute_force(spark, seed):
     assert links == {k: sum(k in p for p in want) for k in sets}
 
 
+def test_similar_pairs_of_large_sets(spark):
+    """Sets of a thousand tokens: a probe row per prefix token and band of sizes, not per size, and none of them holds a set."""
+    sets = {f"s{i}": {f"t{j}" for j in range(i * 40, i * 40 + 1000 - i)} for i in range(12)} | {"copy": {f"t{j}" for j in range(1000)}, "one": {"t1"}}
+    tokens = spark.createDataFrame([(k, t) for k, s in sets.items() for t in s], "id string, token string")
+    grouped, membership = setjoin.classes(spark.createDataFrame([(k,) for k in sets], "id string"), tokens)
+    pairs = setjoin.similar_classes(grouped)
+    got = {tuple(r) for r in setjoin.expand(pairs, membership).collect()}
+    assert got == {(a, b) for a in sets for b in sets if a < b and 10 * len(sets[a] & sets[b]) >= 6 * len(sets[a] | sets[b])}
+    assert ("copy", "s0") in got and len(got) > 50
+
+
+@pytest.mark.parametrize("least_heavy", [5, 1000])
+def test_pairs_of_a_class_of_copies(spark, monkeypatch, least_heavy):
+    """Copies that are a third of all ids, with the class spread over all tasks or not."""
+    monkeypatch.setattr(skew, "LEAST_HEAVY", least_heavy)
+    sets = {f"c{i:02}": {"a", "b", "c"} for i in range(40)} | {f"d{i:02}": {"a", "b", "c", "d"} for i in range(20)} | {f"e{i:02}": {f"x{i}", "y"} for i in range(20)}
+    tokens = spark.createDataFrame([(k, t) for k, s in sets.items() for t in s], "id string, token string")
+    grouped, membership = setjoin.classes(spark.createDataFrame([(k,) for k in sets], "id string"), tokens)
+    got = [tuple(r) for r in setjoin.expand(setjoin.similar_classes(grouped), membership).collect()]
+    want = {(a, b) for a in sets for b in sets if a < b and 10 * len(sets[a] & sets[b]) >= 6 * len(sets[a] | sets[b])}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+@pytest.mark.parametrize("threshold", [Fraction(1, 3), Fraction(4, 5), Fraction(1)])
+def test_similar_pairs_at_other_thresholds(spark, threshold):
+    rng = random.Random(7)
+    sets = {f"p{i:03}": frozenset(rng.choices("abcdefgh", k=rng.randint(1, 7))) for i in range(60)}
+    tokens = spark.createDataFrame([(k, t) for k, s in sets.items() for t in s], "id string, token string")
+    grouped, membership = setjoin.classes(spark.createDataFrame([(k,) for k in sets], "id string"), tokens)
+    got = {tuple(r) for r in setjoin.expand(setjoin.similar_classes(grouped, threshold), membership).collect()}
+    assert got == {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b])}
+
+
 def test_similar_pairs_of_nothing(spark):
     empty = spark.createDataFrame([], "id string, token string")
     grouped, membership = setjoin.classes(empty.select("id"), empty)
@@ -242,6 +283,20 @@ def test_sentences_are_found_again(lang, label):
     assert got == parts
 
 
+def test_sentences_see_as_far_as_needed():
+    """No distance changes a decision: blanks before a small letter, long tags of speech, long words before a mark, notes inside a quotation."""
+    for n in (1, 10, 120, 5000):
+        assert len(sentences.sentences("He came at last." + " " * n + "and left.")) == 1
+        assert len(sentences.sentences("He came at last." + " " * n + "He left.")) == 2
+        tag = "李明" * n
+        assert len(sentences.sentences(f"“会回落。再等等。”{tag}写道。铜呢？", "zh")) == 2
+        assert len(sentences.sentences(f"“घटेगी। रुकिए।” {'लंबा ' * n}Labs ने लिखा। क्यों?", "hi")) == 2
+        assert len(sentences.sentences("क" * n + ". और भी।", "hi")) == 1
+        assert len(sentences.sentences(f"“It fell. {'x' * n} waited.[12]” He left.")) == 2
+    for lang in ("en", "de", None):
+        assert len(sentences.sentences("See a.b.c v1.2 and e.g.this.", lang)) == 1
+
+
 def test_sentences_blocks_and_thai():
     text = "# A. B? C\n\n- one. Two\n* three\nhard\nwrapped text.Next one\n\nราคาเพิ่มขึ้น 9.7 เปอร์เซ็นต์ ยังไม่มี! เพราะ\n"
     assert [text[s:e] for s, e in sentences.sentences(text)] == ["# A. B? C", "- one. Two", "* three", "hard\nwrapped text.", "Next one", "ราคาเพิ่มขึ้น 9.7 เปอร์เซ็นต์", "ยังไม่มี!", "เพราะ"]
