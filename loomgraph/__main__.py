@@ -26,10 +26,10 @@ def rows(result) -> list:
         return [json.loads(x) for x in result.toJSON().toLocalIterator()]
     if isinstance(result, dict):
         return [{k: rows(v) for k, v in result.items()}]
-    if isinstance(result, tuple):
-        return [{"nodes": rows(result[0].drop("content")), "edges": rows(result[1])}]
-    if hasattr(result, "asDict"):
+    if hasattr(result, "asDict"):  # a row, which is a tuple as well
         return [result.asDict(recursive=True)]
+    if isinstance(result, tuple):
+        return [{"nodes": rows(result[0]), "edges": rows(result[1])}]
     return [result]
 
 

@@ -80,5 +80,5 @@ def resolve_tool(names: list[str], wanted: str) -> str | None:
 
 def touched_slugs(calls: DataFrame) -> DataFrame:
     """Distinct slugs that successful edits in a tool log (tool, ok, slug, old_slug, new_slug) name."""
-    edits = calls.where(F.col("ok") & F.col("tool").isin("update_node", "rename_node", "delete_node"))
+    edits = calls.where(F.col("ok") & F.element_at(F.split("tool", r"\."), -1).isin("update_node", "rename_node", "delete_node"))
     return edits.select(F.explode(F.array("slug", "old_slug", "new_slug")).alias("slug")).where("slug IS NOT NULL").distinct()

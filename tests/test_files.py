@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 
 from loomgraph import __main__ as cli
 from loomgraph import runtime
+from loomgraph.api import WikiGraph
 from loomgraph.functions import index_page
 from loomgraph.operators import chat, graph, reports, scoring
 from loomgraph.schema import Code, GraphError, clamp01
 from loomgraph.sources import files
+from loomgraph.tools import ToolBox, shortened
 from tests.test_operators import edges, frame, page
 
 
@@ -168,6 +170,28 @@ def test_command_line(spark, wikis, capsys, monkeypatch):
     assert cli.main(["graph", "update_node", "slug=nobody", "title=x", "--wiki", "one"]) == 1 and "NODE_NOT_FOUND" in capsys.readouterr().err
 
 
+def test_a_session_of_tools(spark, wikis):
+    root = f"{wikis}/one"
+    g = WikiGraph(spark, root)
+    box = ToolBox(g, "dream", ["wiki"], most_calls=9)
+    assert box.call("add_node", title="First", type="entity").ok and "first" in box.call("get_node", slug="first").content
+    got = box.call("write_file", path="wiki/concepts/second.md", content="[[entities/first]] [[gone]]")
+    assert got.ok and "WARNING: 1 wikilink(s) point to no page: [[gone]]" in got.content
+    assert box.call("edit_file", path="wiki/concepts/second.md", old_string="[[gone]]", new_string="").content == "edited wiki/concepts/second.md (exact)"
+    assert box.call("read_file", path="wiki/concepts/second.md").content == "1: [[entities/first]] " and "second.md" in box.call("list_directory", path="wiki/concepts").content
+    assert [box.call(t, **a).ok for t, a in (("write_file", {"path": "../x", "content": ""}), ("delete_node", {"slug": "first"}), ("update_node", {"slug": "nobody", "title": "x"}))] == [False] * 3
+    assert box.call("get_node", slug="first").content == "session over: budget"
+    assert [tuple(r) for r in reports.changes(box.calls(spark)).collect()] == [("entities/first.md", "created"), ("wiki/concepts/second.md", "modified"), ("wiki/concepts/second.md", "modified")]
+    dry = ToolBox(g, "purge", dry_run=True, most_errors=2)
+    assert dry.call("wiki.delete_node", slug="first").content.startswith("[DRY-RUN]") and g.get_node("first") and dry.call("write_file", path="x", content="").ok is False
+    assert not dry.call("nothing").ok and dry.call("get_node", slug="first").content == "session over: too many errors"
+    quiet = ToolBox(g)
+    quiet.stop("aborted")
+    assert quiet.call("get_node", slug="first").content == "session over: aborted"
+    for text, tool in (("short", "get_node"), ("ab\n" * 10, "get_node"), ("ab\n" * 10, "write_file"), ("x" * 30, "get_node")):
+        assert shortened(text, tool, 10) == spark.createDataFrame([(text, tool)], "c string, t string").select(chat.truncated(F.col("c"), F.col("t"), 10)).first()[0]
+
+
 def test_edges_of_no_pages(spark):
     assert graph.components(frame(spark), edges(spark)).count() == 0
 
