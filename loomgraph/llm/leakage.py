@@ -60,22 +60,30 @@ class Machine:
         if places:
             self.automaton.make_automaton()
 
-    def scan(self, own: list[str]) -> dict[int, list[tuple[int, int]]]:
-        """Item -> (first, last) words of the stretches of a text's words that it shares, a whole run or the whole item long."""
+    def scan(self, own: list[str], every: bool = True) -> dict[int, list[tuple[int, int]]]:
+        """Item -> (first, last) words of the stretches of a text's words that it shares, a whole run or the whole item long; all of them, or the first alone.
+
+        A stretch is extended once, however many blocks stand in it: further hits on the same alignment of text and item within it are passed over.
+        """
         hits: dict[int, list[tuple[int, int]]] = {}
         if not self.automaton or not own:
             return hits
-        get = self.number.get
+        get, done = self.number.get, {}
         text = tuple([get(w, 0) for w in own])
         n = len(text)
         for end, (size, where) in self.automaton.iter(text):
             for k, at in where:
                 item, theirs = self.items[k]
-                lo, hi, i, j = end - size + 1, end + 1, at, at + size
+                lo, hi = end - size + 1, end + 1
+                line = (k, lo - at)
+                if done.get(line, 0) >= hi or not every and item in hits:
+                    continue
+                i, j = at, at + size
                 while i and lo and theirs[i - 1] == text[lo - 1]:
                     i, lo = i - 1, lo - 1
                 while j < len(theirs) and hi < n and theirs[j] == text[hi]:
                     j, hi = j + 1, hi + 1
+                done[line] = hi
                 if hi - lo >= min(self.run, len(theirs)):
                     hits.setdefault(item, []).append((lo, hi - 1))
         return hits
@@ -143,7 +151,7 @@ def leaks(documents: DataFrame, items: DataFrame, run: int = RUN, offsets: bool
         for pdf in batches:
             rows = []
             for doc, text in zip(pdf[id_col], pdf["text"]):
-                if hits := machine.scan(words(text)):
+                if hits := machine.scan(words(text), offsets):
                     rows += [(doc, *p) for p in passages(text, hits)] if offsets else [(doc, i) for i in hits]
             yield pd.DataFrame(rows, columns=names)
 
