@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 import os
+import threading
 import time
 from collections import OrderedDict
 from collections.abc import Callable, Iterable, Iterator
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions import index_page
 from loomgraph.functions.frontmatter import compose, parse
 from loomgraph.functions.text import normalize_slug, title_to_slug
-from loomgraph.operators import dml, freshness, graph, metrics, scoring, usage
+from loomgraph.operators import dml, freshness, graph, metrics, reports, scoring, usage
 from loomgraph.operators import pages as P
 from loomgraph.runtime import cut, local, release
 from loomgraph.schema import MAX_ERROR_CHARS, RETENTION_DAYS, Code, GraphError
@@ -49,6 +50,7 @@ class WikiGraph:
     def __init__(self, spark: SparkSession, root: str | None = None, pages: DataFrame | None = None, log: DataFrame | None = None, actor: str = "lib", trust_seconds: float = TRUST_SECONDS, state_dir: str = STATE_DIR, maintain_index: bool = True, maintain_log: bool = True, strict_verify: bool = False):
         self.spark, self.root, self._given, self._log = spark, root, pages, log
         self.maintain_index, self.strict = maintain_index, strict_verify
+        self._building = threading.RLock()
         self.trust, self._pages, self._edges, self._checked = trust_seconds, None, None, 0.0
         self.state = os.path.join(root, state_dir) if root else None
         self.logger = usage_log.UsageLogger(os.path.join(self.state, "usage"), actor) if root and maintain_log else None
@@ -62,18 +64,20 @@ class WikiGraph:
     # what is kept
 
     def pages(self) -> DataFrame:
-        if self._pages is None:
-            self._pages = self._given.persist() if self._given is not None else cut(wiki.scan(self.spark, self.root), "pages")
-            self._checked = time.monotonic()
-        elif self.root and time.monotonic() - self._checked > self.trust:
-            self.refresh()
-        return self._pages
+        with self._building:  # calls at the same time share one scan
+            if self._pages is None:
+                self._pages = self._given.persist() if self._given is not None else cut(wiki.scan(self.spark, self.root), "pages")
+                self._checked = time.monotonic()
+            elif self.root and time.monotonic() - self._checked > self.trust:
+                self.refresh()
+            return self._pages
 
     def edges(self) -> DataFrame:
-        pages = self.pages()
-        if self._edges is None:
-            self._edges = graph.build(pages).persist()
-        return self._edges
+        with self._building:
+            pages = self.pages()
+            if self._edges is None:
+                self._edges = graph.build(pages).persist()
+            return self._edges
 
     def refresh(self) -> None:
         """Read changed files again; what did not change stays."""
@@ -160,6 +164,30 @@ class WikiGraph:
         rows = usage.events(self.usage_log(day or today(), min(days, RETENTION_DAYS)), actor, exclude_actor)
         return usage.with_universe(usage.counts(rows), self.pages())
 
+    def usage_report(self, days: int = 30, actor: str | None = None, exclude_actor: str | None = None, day: str | None = None) -> dict[str, DataFrame]:
+        """Totals, the pages used most and least, and counts per page and actor."""
+        self._note("usage_stats")
+        log = self.usage_log(day or today(), min(days, RETENTION_DAYS))
+        rows = usage.events(log, actor, exclude_actor)
+        per = usage.with_universe(usage.counts(rows), self.pages())
+        return {"totals": usage.totals(log, rows), "top": usage.top(per), "bottom": usage.bottom(per), "pages": per, "by_actor": usage.by_actor(rows)}
+
+    def session_inputs(self, day: str | None = None, theme: str | None = None) -> dict[str, DataFrame]:
+        """reports.prepared() since the journal's newest entry, with the threads it carries."""
+        day, entry = day or today(), self.last_session() or {}
+        carried = reports.carried_threads(self.spark, entry)
+        return reports.prepared(self.pages(), self.edges(), self.usage_log(day, 30), carried, day, entry.get("date"), entry.get("touched_slugs"), theme)
+
+    def last_session(self) -> dict | None:
+        last = usage_log.last_entry(self.spark, os.path.join(self.state, "journal.jsonl")) if self.state else None
+        return json.loads(last) if last else None
+
+    def end_session(self, inputs: dict[str, DataFrame], calls: DataFrame, report: str = "", day: str | None = None) -> dict:
+        """Adds the session's entry to the journal."""
+        entry = reports.journal_entry(inputs, day or today(), calls, report)
+        usage_log.append_entry(os.path.join(self.state, "journal.jsonl"), entry)
+        return entry
+
     def salience(self, day: str | None = None) -> DataFrame:
         day = day or today()
         used = usage.counts(usage.events(self.usage_log(day, 30), exclude_actor="dream"))
@@ -168,8 +196,7 @@ class WikiGraph:
     def pressure(self, since: str | None = None, touched: list[str] | None = None, day: str | None = None) -> DataFrame:
         """What has gathered since the last session, whose own edits (touched) don't count; by default since the journal's newest entry."""
         day = day or today()
-        if since is None and self.state and (last := usage_log.last_entry(self.spark, os.path.join(self.state, "journal.jsonl"))):
-            entry = json.loads(last)
+        if since is None and (entry := self.last_session()):
             since, touched = entry.get("date"), touched or entry.get("touched_slugs")
         return scoring.pressure(self.pages(), freshness.overdue(self.pages(), day).count(), day, since, touched)
 

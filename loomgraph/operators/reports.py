@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as X
-from loomgraph.operators import freshness, scoring, usage, walk
+from loomgraph.operators import chat, freshness, scoring, usage, walk
 from loomgraph.operators.skew import lookup_join
+from loomgraph.runtime import local
 from loomgraph.schema import JOURNAL_CANDIDATES, SNIPPET_CHARS, TYPE_DIRS, Tuning
 
 #: Tools that write.
@@ -104,6 +105,27 @@ def prepared(pages: DataFrame, edges: DataFrame, log: DataFrame, carried: DataFr
     return out | ({"theme": scoring.theme_match(pages, theme)} if theme else {})
 
 
+def journal_entry(inputs: dict[str, DataFrame], today: str, calls: DataFrame, report: str = "") -> dict:
+    """What a session leaves for the next one: its pressure, scenes as drawn, best candidates, threads still open, slugs it touched. One JSON line, see usage_log.append_entry."""
+    scenes: dict[int, list[str]] = {}
+    for r in inputs["scenes"].orderBy("scene", "step").collect():
+        scenes.setdefault(r.scene, []).append(r.node)
+    return {
+        "date": today, "seed": today.replace("-", ""),
+        "pressure": {r.component: r.n for r in inputs["pressure"].collect()},
+        "scenes": [{"nodes": n} for n in scenes.values()],
+        "candidates": [c.asDict() for c in inputs["candidates"].first().candidates],
+        "threads_carried": [r.thread for r in inputs["threads"].collect()],
+        "touched_slugs": sorted(r.slug for r in chat.touched_slugs(calls).collect()),
+        "report": report,
+    }
+
+
+def carried_threads(spark: SparkSession, entry: dict | None) -> DataFrame:
+    """(thread) that a journal entry carries over; none without an entry."""
+    return local(spark, [(t,) for t in (entry or {}).get("threads_carried") or []], "thread string")
+
+
 class DryRun:
     """Writes that were asked for and not done."""
 

@@ -15,6 +15,7 @@ from loomgraph.operators import pages as P
 from loomgraph.plans import core_problems as C
 from loomgraph.plans import wiki_queries as W
 from loomgraph.runtime import children, local, shared_dir
+from loomgraph.sources import usage_log, wiki
 from loomgraph.sources.tables import table
 from loomgraph.streaming import usage as stream
 
@@ -80,6 +81,21 @@ def _stream_features(s: SparkSession, d: str) -> DataFrame:
     return kept.version().select("slug", "event_type", "n", utc_text(F.timestamp_millis("last_ms")).alias("last_ts"))
 
 
+def _page_texts(s: SparkSession, d: str) -> DataFrame:
+    """Every page's latest scan as a file's text: front matter of its type, title and tags, and its content."""
+    quoted = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
+    line = lambda name, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{name}: "), quoted(c), F.lit("\n")))
+    head = F.concat_ws("", line("type", "type"), line("title", "title"), F.when(F.col("tags").isNotNull(), F.concat(F.lit("tags: "), F.to_json("tags"), F.lit("\n"))))
+    return P.latest(table(s, d, "kg_pages")).where(F.col("path").isNotNull()).select("path", F.concat(F.lit("---\n"), head, F.lit("---\n\n"), F.coalesce("content", F.lit(""))).alias("content"))
+
+
+def _log_lines(s: SparkSession, d: str) -> DataFrame:
+    """The usage log as the JSON lines it came from, with a torn line after each."""
+    rows = table(s, d, "usage_events").where(F.col("ts").isNotNull() & F.col("day").isNotNull())
+    line = F.to_json(F.struct("ts", "op", F.col("slugs").alias("slug"), "actor", "dry", "ok", "err"))
+    return rows.select("day", F.explode(F.array(line, F.substring(line, 1, 20), F.lit(""))).alias("value"))
+
+
 def _threads(s: SparkSession, d: str) -> DataFrame:
     live = scoring.threads(W._nodes(s, d))
     return reports.thread_names(scoring.carried(local(s, [(t,) for t in CARRIED], "thread string"), live), live).select("thread", (F.col("place.from") == 0).alias("was_carried"))
@@ -105,6 +121,9 @@ QUERIES = {
     "journal_candidates": lambda s, d: reports.candidates(W._salience(s, d)).select(F.posexplode("candidates").alias("place", "c")).select(F.col("place").cast("bigint").alias("place"), "c.*"),
     "node_columns": lambda s, d: graph.node_columns(W._nodes(s, d)).select("slug", "type", "path", F.size("tags").cast("bigint").alias("n_tags"), "ord"),
     "suggested_filters": lambda s, d: P.ranked(metrics.type_counts(W._nodes(s, d)).join(W._nodes(s, d).groupBy("type").agg(F.min("ord").alias("seen")), "type"), "n", 5).select("type", "n"),
+    "pages_parsed": lambda s, d: wiki.parse_texts(_page_texts(s, d)).select("path", "slug", "title", "type", F.size("tags").cast("bigint").alias("n_tags"), F.size("wikilink_targets").cast("bigint").alias("n_links")),
+    "log_parsed": lambda s, d: usage_log.parse_lines(_log_lines(s, d), F.col("day")).select("ts", "op", F.array_join("slugs", "|", "~").alias("slugs"), "actor", "dry", "ok", "err", "day"),
+    "pressure_touched": lambda s, d: scoring.pressure(W._nodes(s, d), 0, W.TODAY, W.SINCE, [W.CENTER, "nvidia", "hbm"]).where("component IN ('new', 'updated', 'hypotheses', 'contradictions')").select("component", "n"),
     "slug_digit": lambda s, d: W._nodes(s, d).where(X.starts_with_digit(F.col("slug"))).select("slug"),
 }
 
@@ -171,6 +190,15 @@ SELECT thread, true AS was_carried FROM kept UNION ALL SELECT thread, false FROM
     + "SELECT row_number() OVER (ORDER BY score DESC, slug) - 1 AS place, slug, score AS salience, used AS usage30, n_in AS in_degree, overdue_days FROM sal ORDER BY score DESC, slug LIMIT 20",
     "node_columns": W._BASE + "SELECT slug, type, path, (SELECT count(*) FROM tags_ t WHERE t.slug = nodes.slug) AS n_tags, ord FROM nodes",
     "suggested_filters": W._BASE + "SELECT type, count(*) AS n FROM nodes GROUP BY 1 ORDER BY n DESC, min(ord) LIMIT 5",
+    "pages_parsed": W._BASE
+    + _NODE_LINKS.replace("FROM nodes WHERE contains(content", "FROM pg WHERE contains(content").replace(", lines AS", ", pg AS (SELECT * FROM kg_pages WHERE slug IS NOT NULL AND path IS NOT NULL QUALIFY row_number() OVER (PARTITION BY slug ORDER BY ord DESC) = 1), lines AS", 1)
+    + rf""", nl AS (SELECT slug, count(DISTINCT lower({width_sql('target')})) AS k FROM node_links GROUP BY 1)
+SELECT path, lower({width_sql("regexp_extract(path, '([^/]*)[.]md$', 1)")}) AS slug, coalesce(title, regexp_extract(path, '([^/]*)[.]md$', 1)) AS title, {W._INFER.format(c="nullif(lower(trim(type, ' ' || chr(12288) || chr(160) || chr(9) || chr(10) || chr(13))), '')")} AS type,
+coalesce(len(tags), 0) AS n_tags, coalesce(k, 0) AS n_links FROM pg LEFT JOIN nl USING (slug)""",
+    "log_parsed": "SELECT ts, op, array_to_string([coalesce(x, '~') for x in slugs], '|') AS slugs, actor, dry, ok, err, day FROM usage_events WHERE op IS NOT NULL AND ts IS NOT NULL AND day IS NOT NULL",
+    "pressure_touched": W._BASE
+    + f""", own AS (SELECT * FROM nodes WHERE type <> 'dream' AND slug NOT IN ('{W.CENTER}', 'nvidia', 'hbm')) SELECT unnest(['new', 'updated', 'hypotheses', 'contradictions']) AS component,
+unnest([(SELECT count(*) FROM own WHERE created > '{W.SINCE}'), (SELECT count(*) FROM own WHERE updated > '{W.SINCE}' AND NOT coalesce(created > '{W.SINCE}', false) AND created IS NOT NULL), (SELECT count(*) FROM own WHERE {W._HYP}), (SELECT count(*) FROM rels SEMI JOIN own USING (slug) WHERE relation = 'contradicts')]) AS n""",
     "slug_digit": W._BASE + r"SELECT slug FROM nodes WHERE regexp_matches(slug, '^\p{N}')",
     # queries of the other modules
     "wikilinks_extracted": f"WITH {_LINKS} SELECT doc_id, pos, target FROM doc_links",

@@ -27,6 +27,11 @@ def slices(lines: list[str], limit: int = MAX_APPEND_BYTES) -> list[bytes]:
     return out
 
 
+def day_file(folder: str, day: dt.date) -> str:
+    """The log file of a day."""
+    return os.path.join(folder, f"{day:%Y-%m-%d}.jsonl")
+
+
 class UsageLogger:
     """Collects events and appends them in small pieces; files older than the retention are removed."""
 
@@ -52,7 +57,7 @@ class UsageLogger:
             try:
                 if waiting:
                     os.makedirs(self.folder, exist_ok=True)
-                    with open(os.path.join(self.folder, f"{self.now():%Y-%m-%d}.jsonl"), "ab", buffering=0) as f:
+                    with open(day_file(self.folder, self.now()), "ab", buffering=0) as f:
                         while waiting:
                             f.write(waiting[0])
                             waiting.pop(0)

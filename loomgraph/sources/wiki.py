@@ -95,6 +95,18 @@ def parse_files(listing: DataFrame) -> DataFrame:
     return listing.select("abs_path", "path", "mtime", "size").mapInPandas(read, PAGES)
 
 
+def parse_texts(texts: DataFrame) -> DataFrame:
+    """Pages as texts (path, content) parsed like files; they have no file of their own."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [{**parse_page(p, (t or "").removeprefix("\ufeff")), "abs_path": None, "mtime": None, "size": None} for p, t in zip(pdf["path"], pdf["content"])]
+            if rows:
+                yield pd.DataFrame(rows)
+
+    return texts.select("path", "content").mapInPandas(read, PAGES)
+
+
 def with_ord(pages: DataFrame, listing: list) -> DataFrame:
     """Adds ord, the place in the order of abs_path."""
     order = pages.sparkSession.createDataFrame([(x[0], i) for i, x in enumerate(listing)], "abs_path string, ord bigint")

@@ -141,6 +141,10 @@ def test_what_a_session_starts_from(spark):
     (row,) = got["candidates"].collect()
     assert [c.slug for c in row.candidates] == [r.slug for r in got["salience"].collect()] and got["scenes"].where("step = 0").count() == 3
     assert {r.component: r.n for r in got["pressure"].collect()}["hypotheses"] == 1 and set(got) >= {"forget", "theme"}
+    calls = spark.createDataFrame([("wiki.update_node", True, "a", None, None), ("rename_node", True, None, "b", "c"), ("update_node", False, "z", None, None)], "tool string, ok boolean, slug string, old_slug string, new_slug string")
+    entry = json.loads(json.dumps(reports.journal_entry(got, "2025-07-01", calls, "done")))
+    assert entry["touched_slugs"] == ["a", "b", "c"] and len(entry["candidates"]) == 3 and entry["seed"] == "20250701" and len(entry["scenes"]) == 3
+    assert [r.thread for r in reports.carried_threads(spark, entry).collect()] == entry["threads_carried"] and reports.carried_threads(spark, None).count() == 0
     parts = got["pressure"]
     assert "hypotheses: 1 x 2 = 2" in reports.pressure_text(parts, scoring.pressure_score(parts)) and reports.theme_text("t", got["theme"]).startswith("theme 't': ")
 
@@ -170,6 +174,16 @@ def test_command_line(spark, wikis, capsys, monkeypatch):
     assert cli.main(["graph", "update_node", "slug=nobody", "title=x", "--wiki", "one"]) == 1 and "NODE_NOT_FOUND" in capsys.readouterr().err
 
 
+def test_sessions_follow_one_another(spark, wikis):
+    g = WikiGraph(spark, f"{wikis}/one")
+    g.add_node("First", "entity", "status: hypothesis")
+    assert g.last_session() is None
+    inputs = g.session_inputs("2025-07-01")
+    g.end_session(inputs, ToolBox(g).calls(spark), "r", "2025-07-01")
+    assert g.last_session()["threads_carried"] == ["hypothesis:first"] and g.session_inputs(theme="first")["theme"].first().n == 1
+    assert {r.component: r.n for r in g.pressure().collect()}["hypotheses"] == 1 and set(g.usage_report()) == {"totals", "top", "bottom", "pages", "by_actor"}
+
+
 def test_a_session_of_tools(spark, wikis):
     root = f"{wikis}/one"
     g = WikiGraph(spark, root)
