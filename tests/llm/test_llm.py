@@ -286,7 +286,8 @@ def test_sentences_are_found_again(lang, label):
 def test_sentences_see_as_far_as_needed():
     """No distance changes a decision: blanks before a small letter, long tags of speech, long words before a mark, notes inside a quotation."""
     for n in (1, 10, 120, 5000):
-        assert len(sentences.sentences("He came at last." + " " * n + "and left.")) == 1
+        assert len(sentences.sentences("He sold zinc, tin etc." + " " * n + "and left.")) == 1
+        assert len(sentences.sentences("He came at last." + " " * n + "and left.")) == 2
         assert len(sentences.sentences("He came at last." + " " * n + "He left.")) == 2
         tag = "李明" * n
         assert len(sentences.sentences(f"“会回落。再等等。”{tag}写道。铜呢？", "zh")) == 2
@@ -297,6 +298,18 @@ def test_sentences_see_as_far_as_needed():
         assert len(sentences.sentences("See a.b.c v1.2 and e.g.this.", lang)) == 1
 
 
+def test_sentences_that_begin_small_or_without_a_blank():
+    for parts in (
+        ["It was shared by both shelves.", "explain why it was."], ["AFTER PORT CONGESTION.", "answer: the shelf."], ["Are they relinked at 3.7 each?", "the register shows it."], ["(It never caught up.)", "so they say."],
+        ["The call closed at 5 p.m.", "bujabuno台帳の502枚。"], ["“It will keep the old links.”", "rafijeti台帳の287枚。"], ["Links, foil, etc. were merged by Oak Corp. and its peers at 9 a.m. on Monday."], ["Foil... or so they hoped... never came."],
+    ):
+        text = " ".join(parts)
+        assert [text[s:e] for s, e in sentences.sentences(text, "en")] == parts
+    for parts in (["The note admits.", '"It will fall. Wait," he said.'], ["指数持平……", "(Run it twice.)"], ["基本持平……", "„Es fällt. Ja.“"]):
+        text = "".join(parts)
+        assert [text[s:e] for s, e in sentences.sentences(text)] == parts
+
+
 def test_sentences_blocks_and_thai():
     text = "# A. B? C\n\n- one. Two\n* three\nhard\nwrapped text.Next one\n\nราคาเพิ่มขึ้น 9.7 เปอร์เซ็นต์ ยังไม่มี! เพราะ\n"
     assert [text[s:e] for s, e in sentences.sentences(text)] == ["# A. B? C", "- one. Two", "* three", "hard\nwrapped text.", "Next one", "ราคาเพิ่มขึ้น 9.7 เปอร์เซ็นต์", "ยังไม่มี!", "เพราะ"]
