@@ -93,8 +93,8 @@ TABLES: dict[str, list[Rule]] = {
         _rule(True, r"[。！？｡।॥۔؟][!?…]*[”“\"»」』）)】]*", r""),
         _rule(True, r"[\p{Han}\p{Hiragana}\p{Katakana}ー％%0-9\]」）》](?:…+|\.{3,})[。！？]*", r"(?:\s|$|[\p{Han}\p{Hiragana}\p{Katakana}\p{Lu}“„«\"¿¡「《\[【『(（])"),
         # small letters go on after abbreviations that can end a sentence, but begin one after any other word, a number of three digits, a question or a call
-        _rule(False, r"(?i:(?<![\p{L}\p{N}.])(?:etc|usw|corp|inc|ltd|bros|dept|univ|assn|est|min|max|avg|incl|excl|resp|eds|trans|prov|misc|intl|natl|govt|tel))\.", r"\s+\p{Ll}"),
-        _rule(True, r"(?:(?:\p{Ll}{3}|\p{Lu}{3}|\d{3})\.|[\p{L}\p{N}%)\]][!?]+)[)\]）]?", r"\s+\p{Ll}"),
+        _rule(False, r"(?i:(?<![\p{L}\p{N}.])(?:etc|usw|corp|inc|ltd|bros|dept|univ|assn|est|min|max|avg|incl|excl|resp|eds|trans|prov|misc|intl|natl|govt|tel|ca|cf|pp|op|al|vs|no|nr|st|dr|mr|ms|jr|sr|ed|ej|fl|ss|ff|bd|hr|fr|av|ch|eq|ex|cm|mm|kg|ft|oz|lb|id))\.", r"\s+\p{Ll}"),
+        _rule(True, r"(?:(?:\p{Ll}{2}|\p{Lu}{3}|\d{3})\.|[\p{L}\p{N}%)\]][!?]+)[)\]）]?", r"\s+\p{Ll}"),
         # a word that runs on in another script begins anew
         _rule(True, rf"[{regex.escape(ENDS)}][{CLOSERS}]*", r"\s+\p{Ll}+[\p{Han}\p{Hiragana}\p{Katakana}，、]"),
         # an end mark, then white space (or the end) and no small letter or joining mark
