@@ -14,7 +14,7 @@ from loomgraph.functions.canonical import with_canonical
 from loomgraph.functions.dates import instant, utc_text
 from loomgraph.operators.skew import lookup_join
 from loomgraph.runtime import cut
-from loomgraph.sources.tables import WRITE_OPS, event_slugs, is_event
+from loomgraph.sources.tables import WRITE_OPS, event_slugs
 
 LOG = ["ts", "op", "slugs", "actor", "dry", "ok", "err", "day"]
 KEY = ["slug", "event_type"]
@@ -29,17 +29,17 @@ def logged(events: DataFrame) -> list[str]:
 
 
 def print_of(events: DataFrame) -> Column:
-    """A 64-bit hash of all columns that decide which rows are equal."""
-    return F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in logged(events)])
+    """A 64-bit hash of all columns that decide which rows are equal; equal rows have equal hashes, others may."""
+    return F.xxhash64(*logged(events))
 
 
 def keyed(events: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """(slug, event_type, ms, pos, *keep) of every event row and slug it names, pos the slug's place among them; rows that are no events are left out."""
     keep = keep or []
-    rows = events.where(is_event())
-    rows = with_canonical(rows, "__actor", F.col("actor"))
+    rows = events.where(F.col("op").isNotNull() & F.col("slugs").isNotNull()).withColumn("ms", F.unix_millis(instant(F.col("ts"))))
+    # is_event() in two steps: a filter does not pass below the canonical form, so the instant is read once
+    rows = with_canonical(rows, "__actor", F.col("actor")).where(F.col("ms").isNotNull())
     rows = rows.withColumn("event_type", F.concat("op", F.lit(":"), F.coalesce("__actor", F.lit("lib"))))
-    rows = rows.withColumn("ms", F.unix_millis(instant(F.col("ts"))))
     return event_slugs(rows, ["event_type", "ms", *keep]).select("slug", "event_type", "ms", "pos", *keep)
 
 
