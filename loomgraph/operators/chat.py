@@ -60,6 +60,19 @@ def summary(fates: DataFrame) -> DataFrame:
     return out.groupBy("conv_id").agg(F.count("*").alias("operations"), F.concat_ws(", ", F.sort_array(F.collect_set("tool_call_id"))).alias("calls"))
 
 
+def summary_text(calls: DataFrame, gone: DataFrame, shown: int = 20) -> DataFrame:
+    """(conv_id, text): one line for the calls (conv_id, turn, tool, args, error, tool_call_id) whose results `gone` (conv_id, tool_call_id) were taken out: turns, number, errors, and the first of them."""
+    rows = calls.join(gone.select("conv_id", "tool_call_id").distinct(), ["conv_id", "tool_call_id"], "left_semi")
+    one = F.concat("tool", F.lit("("), F.substring(F.coalesce("args", F.lit("")), 1, 70), F.lit(") ["), F.when(F.col("error").isNull(), "ok").otherwise("FAILED"), F.lit("]"))
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "tool_call_id"))
+    per = rows.withColumn("__one", one).withColumn("__n", place).groupBy("conv_id")
+    first = F.transform(F.sort_array(F.collect_list(F.when(F.col("__n") <= shown, F.struct("__n", "__one")))), lambda x: x["__one"])
+    out = per.agg(F.min("turn").alias("a"), F.max("turn").alias("b"), F.count("*").alias("n"), F.count("error").alias("bad"), first.alias("first"))
+    more = F.when(F.col("n") > shown, F.concat(F.lit("; ... and "), (F.col("n") - shown).cast("string"), F.lit(" more"))).otherwise("")
+    errors = F.when(F.col("bad") > 0, F.concat(F.col("bad").cast("string"), F.lit(" errors. "))).otherwise("")
+    return out.select("conv_id", F.concat(F.lit("[Summary of turns "), F.col("a").cast("string"), F.lit("–"), F.col("b").cast("string"), F.lit(": "), F.col("n").cast("string"), F.lit(" operations. "), errors, F.array_join("first", "; "), more, F.lit("]")).alias("text"))
+
+
 def truncated(content: Column, tool: Column, limit: int = TOOL_RESULT_CHARS) -> Column:
     """A tool result within `limit` characters: its end where the tool writes, else its beginning up to a line's end; a note says what is left out."""
     writes = tool.rlike("write|edit|add|update|delete|rename|remove|create")

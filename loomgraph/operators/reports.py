@@ -16,12 +16,15 @@ from loomgraph.schema import JOURNAL_CANDIDATES, SNIPPET_CHARS, TYPE_DIRS, Tunin
 #: Tools that write.
 WRITE_TOOLS = ["wiki.add_node", "wiki.update_node", "wiki.delete_node", "wiki.rename_node", "wiki.add_edge", "wiki.remove_edge", "wiki.rebuild_index", "write_file", "edit_file"]
 READ_TOOLS = ["get_stats", "read_graph", "get_node", "get_edges", "metrics", "scan_freshness", "usage_stats"]
-#: Which graph tools a kind of session may call.
+#: Which graph tools a kind of session may call; `read` is what changes nothing.
 ALLOWED = {
     "read": READ_TOOLS,
-    "reason": ["read_graph", "get_node", "get_edges", "get_stats", "add_node", "add_edge", "update_node"],
-    "purge": ["scan_freshness", "get_node", "get_edges", "update_node", "delete_node"],
-    "dream": [*READ_TOOLS, "add_node", "update_node", "add_edge", "remove_edge", "rebuild_index"],
+    "ingest": ["get_stats", "read_graph", "get_node", "add_node", "add_edge", "rename_node"],
+    "research": ["get_stats", "read_graph", "get_node", "get_edges", "scan_freshness", "add_node", "update_node", "add_edge", "rename_node"],
+    "check": ["get_stats", "read_graph", "get_node", "get_edges", "add_node", "update_node", "add_edge", "delete_node"],
+    "reason": ["get_stats", "read_graph", "get_node", "get_edges", "add_node", "update_node", "add_edge"],
+    "purge": ["get_stats", "read_graph", "get_node", "update_node", "delete_node"],
+    "dream": [*READ_TOOLS, "update_node", "delete_node", "add_edge", "remove_edge", "rebuild_index"],
 }
 
 

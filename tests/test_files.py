@@ -153,6 +153,9 @@ def test_truncated_results(spark):
     df = spark.createDataFrame([(1, "short", "get_node"), (2, "ab\n" * 10, "get_node"), (3, "ab\n" * 10, "write_file"), (4, "x" * 30, "get_node")], "i int, c string, t string")
     got = {r.i: r.o for r in df.select("i", chat.truncated(F.col("c"), F.col("t"), 10).alias("o")).collect()}
     assert got == {1: "short", 2: "ab\nab\nab\n[truncated, 20 chars omitted from tail]", 3: "[truncated, 20 chars omitted from head]\n\nab\nab\nab\n", 4: "x" * 10 + "\n[truncated, 20 chars omitted from tail]"}
+    calls = spark.createDataFrame([(1, i, "get_node", f'slug="p{i}"', "boom" if i == 2 else None, f"c{i}") for i in range(1, 26)], "conv_id int, turn int, tool string, args string, error string, tool_call_id string")
+    (row,) = chat.summary_text(calls, calls.where("turn > 1"), 2).collect()
+    assert row.text == '[Summary of turns 2–25: 24 operations. 1 errors. get_node(slug="p2") [FAILED]; get_node(slug="p3") [ok]; ... and 22 more]'
     done = spark.createDataFrame([("completed", "x" * 500), ("completed", "x"), ("failed", "x" * 500)], "s string, m string")
     assert [r.k for r in done.select(reports.skip_conclusion(F.col("s"), F.col("m"), True).alias("k")).collect()] == [True, False, False]
 
@@ -187,7 +190,7 @@ def test_sessions_follow_one_another(spark, wikis):
 def test_a_session_of_tools(spark, wikis):
     root = f"{wikis}/one"
     g = WikiGraph(spark, root)
-    box = ToolBox(g, "dream", ["wiki"], most_calls=9)
+    box = ToolBox(g, "research", ["wiki"], most_calls=9)
     assert box.call("add_node", title="First", type="entity").ok and "first" in box.call("get_node", slug="first").content
     got = box.call("write_file", path="wiki/concepts/second.md", content="[[entities/first]] [[gone]]")
     assert got.ok and "WARNING: 1 wikilink(s) point to no page: [[gone]]" in got.content
