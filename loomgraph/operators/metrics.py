@@ -98,7 +98,7 @@ def over_extracted(nodes: DataFrame, least: int = 3) -> DataFrame:
 def type_matrix(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(source_type, target_type, n, ratio): edges between types; ratio is the share of the row.
 
-    Cells without an edge are there for the known types alone; other types are open-ended, so only their cells with edges are listed.
+    Cells without an edge are there for those of the known types that some page has; other types are open-ended, so only their cells with edges are listed.
     """
     kinds = nodes.select("slug", "type")
     # counted per (source, type of target) first, so the second join sees one row per such pair
@@ -106,6 +106,9 @@ def type_matrix(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     half = half.groupBy("source", "target_type").agg(F.count("*").alias("n"))
     full = half.join(kinds.select(F.col("slug").alias("source"), F.col("type").alias("source_type")), "source")
     known = local(nodes.sparkSession, [(a, b, 0) for a in KNOWN_TYPES for b in KNOWN_TYPES], "source_type string, target_type string, n bigint")
+    there = F.broadcast(nodes.select("type").where(F.col("type").isin(KNOWN_TYPES)).distinct())  # eight rows at most
+    for end in ("source_type", "target_type"):
+        known = known.join(there.withColumnRenamed("type", end), end, "left_semi")
     cells = full.select("source_type", "target_type", "n").unionByName(known).groupBy("source_type", "target_type").agg(F.sum("n").alias("n"))
     row = F.sum("n").over(Window.partitionBy("source_type"))
     dense = cells.withColumn("ratio", F.when(row > 0, rounded(F.col("n") / row, 3)).otherwise(F.lit(0.0)))

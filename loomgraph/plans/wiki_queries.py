@@ -276,7 +276,7 @@ SQL = {
     "source_coverage": _BASE + "SELECT (SELECT count(DISTINCT slug) FROM srcs) AS with_sources, (SELECT count(*) FROM nodes) - (SELECT count(DISTINCT slug) FROM srcs) AS without_sources, (SELECT count(DISTINCT v) FROM srcs) AS unique_sources",
     "type_matrix": _BASE
     + f""", c AS (SELECT a.type AS source_type, b.type AS target_type, count(*) AS n FROM et JOIN nodes a ON a.slug = source JOIN nodes b ON b.slug = target GROUP BY 1, 2),
-kn AS (SELECT unnest({_KNOWN}) AS t), dn AS (SELECT coalesce(c.source_type, x.t) AS source_type, coalesce(c.target_type, y.t) AS target_type, coalesce(n, 0) AS n FROM kn x CROSS JOIN kn y FULL JOIN c ON c.source_type = x.t AND c.target_type = y.t)
+kn AS (SELECT t FROM (SELECT unnest({_KNOWN}) AS t) SEMI JOIN nodes ON t = nodes.type), dn AS (SELECT coalesce(c.source_type, x.t) AS source_type, coalesce(c.target_type, y.t) AS target_type, coalesce(n, 0) AS n FROM kn x CROSS JOIN kn y FULL JOIN c ON c.source_type = x.t AND c.target_type = y.t)
 SELECT source_type, target_type, n, CASE WHEN sum(n) OVER (PARTITION BY source_type) > 0 THEN floor(n / sum(n) OVER (PARTITION BY source_type) * 1000 + 0.5) / 1000 ELSE 0.0::DOUBLE END AS ratio FROM dn""",
     "type_balance": _BASE + "SELECT type, count(*) AS n, floor(count(*) / (SELECT count(*) FROM nodes) * 1000 + 0.5) / 1000 AS ratio FROM nodes GROUP BY 1",
     "type_empty": _BASE + f"SELECT t AS type FROM (SELECT unnest({_KNOWN}) AS t) ANTI JOIN nodes ON t = nodes.type",
