@@ -114,8 +114,8 @@ def expand(pairs: DataFrame, membership: DataFrame) -> DataFrame:
 
 def links_per_id(pairs: DataFrame, grouped: DataFrame, membership: DataFrame) -> DataFrame:
     """(id, class, n_links): one row per id with its class and the number of ids similar to it, counted without expanding copies."""
-    sizes = grouped.select("class", "n_members")
+    sizes, pairs = grouped.select("class", "n_members"), cut(pairs.select("small", "large"), "class_pairs")
     ends = pairs.select(F.col("small").alias("class"), F.col("large").alias("other")).unionByName(pairs.select(F.col("large").alias("class"), F.col("small").alias("other")))
-    away = ends.join(sizes.withColumnRenamed("class", "other"), "other").groupBy("class").agg(F.sum("n_members").alias("away"))
+    away = lookup_join(ends, sizes.withColumnRenamed("class", "other"), "other", "inner").groupBy("class").agg(F.sum("n_members").alias("away"))
     per_class = sizes.join(away, "class", "left").select("class", (F.coalesce("away", F.lit(0)) + F.col("n_members") - 1).alias("n_links"))
     return lookup_join(membership, per_class, "class", "inner").select("id", "class", "n_links")
