@@ -226,15 +226,14 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> Data
     Alternating large-star and small-star steps over numbered (lo, hi) rows: in a large star a node's greater neighbours are hung on its least,
     in a small star its smaller ones. A node with one link left, to a smaller one, leaves the loop; the rounds end when no link is left.
     """
-    kept = induced(edges.where(F.col("source") != F.col("target")).select("source", "target", "ord"), nodes.select("slug"))
-    ids, names = encode(kept.select(F.col("source").alias("a"), F.col("target").alias("b")))
+    apart = edges.where(F.col("source") != F.col("target")).select(F.col("source").alias("a"), F.col("target").alias("b"))
+    ids, names = encode(apart, nodes.select(F.col("slug").alias("name")))
     pair = lambda x, y: F.struct(F.col(x).alias("lo"), F.col(y).alias("hi"))
     forest = Forest()
     now, left = _links(ids.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")))
     for _ in range(max_rounds):
         if not left:
-            found = decode(names, forest.roots())
-            return nodes.select("slug").join(found.withColumnRenamed("vertex", "slug"), "slug", "left").select("slug", F.coalesce("component", "slug").alias("component"))
+            return decode(names, forest.roots()).withColumnRenamed("vertex", "slug")
         ends = now.select(F.inline(F.array(F.struct(F.col("lo").alias("v"), F.col("hi").alias("u")), F.struct(F.col("hi").alias("v"), F.col("lo").alias("u")))))
         least = cut(ends.groupBy("v").agg(F.min("u").alias("u"), F.count("*").alias("n")), "least")
         leaf = (F.col("n") == 1) & (F.col("u") < F.col("v"))

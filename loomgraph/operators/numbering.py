@@ -26,21 +26,26 @@ def in_order(df: DataFrame, order: list[str], name: str) -> DataFrame:
     return fixed.join(F.broadcast(offsets), "__pid").select(*df.columns, (F.col("__start") + F.col("__no")).alias(name))
 
 
-def encode(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def encode(pairs: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(pairs (a, b) as numbers, names (name, id)) of pairs of names without nulls; numbers follow the order of the names.
 
-    The names' numbers of rows on either side come with them, so no further count finds the heavy ones.
+    The names are those of the pairs, and their numbers of rows on either side come with them, so no further count finds the heavy ones. With `known` (name), distinct
+    names, they are these, and pairs with an end outside them are left out.
     """
     seen, parts = Observation(), partitions(pairs.sparkSession)
     pairs = cut(pairs.select("a", "b"), "pairs", seen, F.count("*").alias("n"))
     total = seen.get.get("n") or 0
-    side = lambda c: F.struct(F.col(c).alias("name"), F.lit(int(c == "a")).alias("a"), F.lit(int(c == "b")).alias("b"))
-    names = pairs.select(F.inline(F.array(side("a"), side("b")))).groupBy("name").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    names = in_order(names, ["name"], "id")
+    if known is not None:
+        names = in_order(known.select("name"), ["name"], "id")
+        heavy = {end: skew.heavy_keys(pairs, end) for end in ("a", "b")}
+    else:
+        side = lambda c: F.struct(F.col(c).alias("name"), F.lit(int(c == "a")).alias("a"), F.lit(int(c == "b")).alias("b"))
+        names = pairs.select(F.inline(F.array(side("a"), side("b")))).groupBy("name").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+        names = in_order(names, ["name"], "id")
+        heavy = {end: skew.most_rows(names.select(F.col("name").alias("k"), F.col(end).alias("n")), total, parts) for end in ("a", "b")}
     out = pairs
     for end in ("a", "b"):
-        heavy = skew.most_rows(names.select(F.col("name").alias("k"), F.col(end).alias("n")), total, parts)
-        out = skew.lookup_join(out, names.select(F.col("name").alias(end), F.col("id").alias(f"{end}_id")), end, "inner", heavy)
+        out = skew.lookup_join(out, names.select(F.col("name").alias(end), F.col("id").alias(f"{end}_id")), end, "inner", heavy[end])
     return out.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")), names.select("name", "id")
 
 
