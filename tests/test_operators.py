@@ -211,10 +211,10 @@ def brute_trails(pool, near, seed, tuning=Tuning()):
         taken.append(weighted(taken))
         trail = [(taken[-1], "")]
         for _ in range(tuning.hops[0] + int(draw() * (tuning.hops[1] - tuning.hops[0] + 1))):
-            on = [s for s, _ in trail]
+            on, wants = [s for s, _ in trail], draw() < tuning.p_edge
             if len(on) == len(pool):
                 break
-            if draw() < tuning.p_edge:
+            if wants:
                 free = [s for s in near.get(on[-1], []) if s not in on]
                 trail.append((free[int(draw() * len(free))], "edge") if free else (weighted(on), "dead-end"))
             else:
