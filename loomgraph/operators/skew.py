@@ -88,18 +88,18 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(first) if first and merging else partitions(spark)
 
 
-def slots(spark: SparkSession, heavy: Heavy, key_type) -> DataFrame:
-    """(__key, __slots): for each heavy key the salts of the partitions it is spread over, four for each fair share it holds.
+def slots(spark: SparkSession, heavy: Heavy, key_type, key: str) -> DataFrame:
+    """(`key`, __slots): for each heavy key the salts of the partitions it is spread over, four for each fair share it holds.
 
     Fewer rows than twice the partitions, and in them fewer than six times as many salts together: broadcast whatever the data's size.
     """
     from pyspark.sql import types as T
 
     parts = shuffle_parts(spark)
-    keys = local(spark, [(k,) for k in heavy], T.StructType([T.StructField("__key", key_type)]))
-    seeds = [r[0] for r in keys.select(F.hash("__key")).collect()]
+    keys = local(spark, [(k,) for k in heavy], T.StructType([T.StructField("k", key_type)]))
+    seeds = [r[0] for r in keys.select(F.hash("k")).collect()]
     out = [(k, places(seed, -(-4 * n * parts // heavy.total), parts)) for k, n, seed in zip(heavy, heavy.rows, seeds)]
-    return local(spark, out, T.StructType([T.StructField("__key", key_type), T.StructField("__slots", T.ArrayType(T.IntegerType()))]))
+    return local(spark, out, T.StructType([T.StructField(key, key_type), T.StructField("__slots", T.ArrayType(T.IntegerType()))]))
 
 
 def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "left", heavy: Heavy | None = None) -> DataFrame:
@@ -123,12 +123,13 @@ def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "left",
             return left.join(right, key, how)
         left = left.withColumn("__salt", F.coalesce(free, F.lit(0)))
         return left.join(right.withColumn("__salt", F.lit(0)), [key, "__salt"], how).drop("__salt")
-    spread = slots(spark, heavy, kind)
+    # joined by the key's own name, so that no name of a column is reserved besides __salt and __slots
+    spread = slots(spark, heavy, kind, key)
     at: Column = F.element_at("__slots", (F.pmod(turn, F.size("__slots")) + 1).cast("int"))
-    left = left.join(F.broadcast(spread), F.col(key) == F.col("__key"), "left")
-    left = left.withColumn("__salt", F.coalesce(F.when(F.col("__slots").isNotNull(), at), free, F.lit(0))).drop("__key", "__slots")
-    right = right.join(F.broadcast(spread), F.col(key) == F.col("__key"), "left")
-    right = right.withColumn("__salt", F.explode(F.coalesce("__slots", F.array(F.lit(0))))).drop("__key", "__slots")
+    left = left.join(F.broadcast(spread), key, "left")
+    left = left.withColumn("__salt", F.coalesce(F.when(F.col("__slots").isNotNull(), at), free, F.lit(0))).drop("__slots")
+    right = right.join(F.broadcast(spread), key, "left")
+    right = right.withColumn("__salt", F.explode(F.coalesce("__slots", F.array(F.lit(0))))).drop("__slots")
     return left.join(right, [key, "__salt"], how).drop("__salt")
 
 
