@@ -7,7 +7,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.operators import features, graph, metrics
+from loomgraph.operators import features, graph, metrics, skew
 from loomgraph.operators import pages as P
 from loomgraph.schema import Code, GraphError
 from loomgraph.sources import commit, usage_log, wiki
@@ -160,6 +160,21 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == sorted(map(tuple, features.features(usage_log.read(spark, str(folder))).select("slug", "event_type", "n", "last_ms").collect()))
 
 
+def test_stream_delivered_again_with_a_heavy_key(spark, tmp_path, monkeypatch):
+    """A whole log that comes again reaches every key's latest event, so all rows are looked at, those of a heavy key too."""
+    monkeypatch.setattr(features, "MAX_BROADCAST_KEYS", -1)
+    monkeypatch.setattr(skew, "LEAST_HEAVY", 10)
+    schema = "ts string, op string, slugs array<string>, actor string, dry boolean, ok boolean, err string, day date"
+    rows = [(f"2025-06-01T00:{i // 60:02}:{i % 60:02}Z", "get_node", ["hot"] if i % 3 else [f"k{i}", "b"], None, None, True, None, None) for i in range(300)]
+    log = spark.createDataFrame(rows, schema)
+    table = stream.FeatureTable(spark, str(tmp_path / "features"))
+    for i in range(2):
+        table.advance(log, i)
+    got = {(r.slug, r.event_type): (r.n, r.last_ms) for r in table.version().collect()}
+    at = lambda i: 1748736000000 + 1000 * i
+    assert got == {(s, "get_node:lib"): v for s, v in {"hot": (200, at(299)), "b": (100, at(297)), **{f"k{i}": (1, at(i)) for i in range(0, 300, 3)}}.items()}
+
+
 def test_stream_counts_a_repeated_row_once(spark, tmp_path):
     schema = "ts string, op string, slugs array<string>, actor string, dry boolean, ok boolean, err string, day date"
     row = lambda d, op="get_node": (f"2025-06-0{d}T00:00:00Z", op, ["a", "b"], None, None, True, None, dt.date(2025, 6, d))
