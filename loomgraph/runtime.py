@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import time
@@ -109,6 +110,13 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(jpath, True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of jobs that are over; else they stay until the driver happens to collect its garbage."""
+    spark.sql("SELECT 1").collect()  # no job, but the listeners hold the last query they heard of, and with it its shuffle
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def local(spark: SparkSession, rows: list[tuple], schema: str | T.StructType) -> DataFrame:
     """A few rows of the driver as a table that is planned and read without a Python worker."""
     kind = T._parse_datatype_string(schema) if isinstance(schema, str) else schema

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.dates import instant
 from loomgraph.operators import features
-from loomgraph.runtime import children, cut, release, remove
+from loomgraph.runtime import children, free_shuffles, remove
 from loomgraph.schema import RETENTION_DAYS
 from loomgraph.sources.tables import WRITE_OPS, event_slugs, is_event
 from loomgraph.sources.usage_log import _file_day, parse_lines
@@ -34,11 +34,14 @@ def daily(log: DataFrame, late: str = f"{RETENTION_DAYS} days") -> DataFrame:
 class FeatureTable:
     """The per-entity feature state under a folder, advanced by foreachBatch: every batch is signed deltas added to the newest version.
 
-    Every delivery is inserted, and a row delivered again, in one batch or in a later one, is retracted: `rows` holds the distinct rows so far. Maxima are recomputed only where a retraction reaches the latest event. Versions are written whole and named by batch, so a batch run again after a failure
+    `rows` holds the distinct rows so far. A row delivered again, in one batch or in a later one, would be inserted and retracted by the same batch: the two cancel
+    before they are summed, so only rows not seen before are keyed. Its first delivery stands, so no maximum falls. Versions are written whole and named by batch, so a batch run again after a failure
     writes the same; of the versions the last KEEP are kept. The folder may be on any file system that Spark can use.
     """
 
     KEEP = 3
+    #: A batch meets the rows so far in so many passes, each over its own share of their hashes, so that no more than that share of them is in shuffle files at a time.
+    PASSES = 4
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -55,33 +58,29 @@ class FeatureTable:
         found = self._found(before)
         return self.spark.read.schema(features.STATE).parquet(f"{self.folder}/{found[-1]}") if found else None
 
-    def _seen(self, before: int, schema) -> DataFrame:
+    def _seen(self, before: int, schema) -> DataFrame | None:
         paths = [f"{self.folder}/rows/{n}" for n in children(self.spark, f"{self.folder}/rows") if n.isdigit() and int(n) < before]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*paths) if paths else None
 
     def advance(self, batch: DataFrame, batch_id: int) -> None:
         """Add a batch of log rows as version batch_id."""
         rows = batch.select(*features.logged(batch))
         seen, path = self._seen(batch_id, rows.schema), f"{self.folder}/rows/{batch_id}"
-        counted = rows.groupBy(*rows.columns).agg(F.count("*").alias("copies"))
-        counted = counted.withColumn("__print", features.print_of(counted))
-        old = seen.select(features.print_of(seen).alias("__old"), *[F.col(c).alias(f"__{c}") for c in rows.columns], F.lit(1).alias("again"))
-        same = [F.col("__print") == F.col("__old"), *[F.col(c).eqNullSafe(F.col(f"__{c}")) for c in rows.columns]]
-        marked = counted.join(old, same, "left").select(*rows.columns, "copies", F.coalesce("again", F.lit(0)).alias("again"))
-        marked = cut(marked, "batch")
-        marked.where("again = 0").select(*rows.columns).write.mode("overwrite").parquet(path)
-        fresh = self.spark.read.schema(rows.schema).parquet(path)
-        extra = marked.withColumn("surplus", F.col("copies") - 1 + F.col("again")).where("surplus > 0").drop("copies", "again")
-        deltas = features.deltas(features.keyed(marked, ["copies"]), F.col("copies"))
-        state = features.apply_deltas(self.version(before=batch_id), deltas, None)
-        back = features.deltas(features.keyed(extra, ["surplus"]), -F.col("surplus"))
-
-        def remaining(touched: DataFrame) -> DataFrame:
-            # every distinct row once, those of this batch too; only those of touched keys are looked at
-            return features.of_keys(features.keyed(seen.unionByName(fresh)), touched)
-
-        features.apply_deltas(state, back, remaining).write.mode("overwrite").parquet(f"{self.folder}/{batch_id}")
-        release(marked)
+        # compared in full, both sides in one shuffle; equal deliveries are one before it
+        both = rows.withColumn("__again", F.lit(0))
+        if seen is not None:
+            both = both.unionByName(seen.withColumn("__again", F.lit(1)))
+        passes = 1 if seen is None else self.PASSES
+        for k in range(passes):
+            some = both if passes == 1 else both.where(F.pmod(features.print_of(both), F.lit(passes)) == k)
+            new = some.groupBy(*rows.columns).agg(F.max("__again").alias("__again")).where("__again = 0").select(*rows.columns)
+            new.write.option("compression", "zstd").mode("append" if k else "overwrite").parquet(path)
+            free_shuffles(self.spark)
+        state, fresh = self.version(before=batch_id), self.spark.read.schema(rows.schema).parquet(path)
+        if state is None or not fresh.isEmpty():
+            state = features.apply_deltas(state, features.deltas(features.keyed(fresh), 1), None)
+        state.write.option("compression", "zstd").mode("overwrite").parquet(f"{self.folder}/{batch_id}")
+        free_shuffles(self.spark)
         for n in self._found(batch_id)[: -self.KEEP + 1]:
             remove(self.spark, f"{self.folder}/{n}")
 

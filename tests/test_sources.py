@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -175,6 +176,31 @@ def test_stream_delivered_again_with_a_heavy_key(spark, tmp_path, monkeypatch):
     assert got == {(s, "get_node:lib"): v for s, v in {"hot": (200, at(299)), "b": (100, at(297)), **{f"k{i}": (1, at(i)) for i in range(0, 300, 3)}}.items()}
 
 
+def test_stream_delivered_again_is_compared_once(spark, tmp_path):
+    """A log that comes again goes through one shuffle beside the rows so far, is not spelt out again, and leaves no shuffle files behind."""
+    schema = "ts string, op string, slugs array<string>, actor string, dry boolean, ok boolean, err string, day date"
+    n = 3000
+    log = spark.createDataFrame([(f"2025-06-01T{i // 3600:02}:{i // 60 % 60:02}:{i % 60:02}Z", "get_node", [f"k{i}", "b"], None, None, True, None, None) for i in range(n)], schema)
+    sc = spark.sparkContext._jsc.sc()
+    shuffles = lambda: {f for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+
+    def moved():
+        sc.listenerBus().waitUntilEmpty()
+        stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return {(x.stageId(), x.attemptId()): x.shuffleWriteRecords() for x in (stages.apply(i) for i in range(stages.size()))}
+
+    table, before = stream.FeatureTable(spark, str(tmp_path / "features")), shuffles()
+    table.advance(log, 0)
+    first, done = sorted(map(tuple, table.version().collect())), moved()
+    table.advance(log, 1)
+    assert sum(v for k, v in moved().items() if k not in done) == 2 * n
+    assert sorted(map(tuple, table.version().collect())) == first and len(first) == n + 1
+    until = time.time() + 20
+    while shuffles() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not shuffles() - before
+
+
 def test_stream_counts_a_repeated_row_once(spark, tmp_path):
     schema = "ts string, op string, slugs array<string>, actor string, dry boolean, ok boolean, err string, day date"
     row = lambda d, op="get_node": (f"2025-06-0{d}T00:00:00Z", op, ["a", "b"], None, None, True, None, dt.date(2025, 6, d))
